@@ -67,7 +67,7 @@ def hex_code(c: Column | str) -> Column:
 def group_number(c: Column | str) -> Column:
     """The number in a group label such as ``G-77``, ``grp_77 ``, ``0000000077`` or ``77.0``."""
     digits = F.regexp_extract(_col(c), r"(\d+)(?:\.0*)?[\s\p{Z}]*$", 1)
-    return F.when(digits != "", digits.cast("decimal(38,0)").cast("bigint"))
+    return F.when(digits != "", digits.try_cast("decimal(38,0)").try_cast("bigint"))
 
 
 def usable_margin(c: Column | str) -> Column:
