@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sieveworks.plans import small_files
+
+MODULES = [small_files]
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
