@@ -46,19 +46,36 @@ def code_pairs(left: DataFrame, right: DataFrame, threshold: int, same_side: boo
     return joined.where((F.bit_count(diff) <= threshold) & (first == F.col("m"))).select("a", "b", F.bit_count(diff).cast("int").alias("dist"))
 
 
-def near_pairs(df: DataFrame, id_col: str, code_col: str, threshold: int, extra_code: str | None = None) -> DataFrame:
-    """Pairs of ids (a < b) whose codes, and second codes if given, are within the threshold.
+def code_classes(df: DataFrame, id_col: str, codes: list[str]) -> DataFrame:
+    """rep, n, codes...: rows with equal codes are one class, named after its least id; rows that lack a code are left out."""
+    rows = df.where(F.col(id_col).isNotNull()).dropna(subset=codes)
+    return rows.groupBy(*codes).agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
 
-    Rows without a code match nothing. The join runs over distinct codes; rows
-    that share a code are joined back by it. Suited to data whose exact copies
-    were folded first, as the result holds every pair.
+
+def near_classes(classes: DataFrame, threshold: int, code: str = "ph", second: str | None = None) -> DataFrame:
+    """A, b (representatives, a < b), n_a, n_b, dist of the classes within the threshold by one code or by both.
+
+    Classes instead of rows: copies of a code cost one comparison, and pairs of
+    copies are not expanded. With a second code, classes whose first codes are
+    near are joined on the bands of the second, so that many classes of one
+    first code are not paired with each other; dist is the greater distance.
     """
-    rows = df.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(code_col).alias("code"), *([F.col(extra_code).alias("second")] if extra_code else []))
-    codes = rows.select("code").distinct()
+    codes = classes.select(F.col(code).alias("code")).distinct()
     near = code_pairs(codes, codes, threshold, same_side=True)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")).unionByName(codes.select(F.col("code").alias("a"), F.col("code").alias("b"), F.lit(0).alias("dist")))
-    side = lambda n: rows.select(F.col("id").alias(f"id_{n}"), F.col("code").alias(n), *([F.col("second").alias(f"second_{n}")] if extra_code else []))
-    out = both.join(side("a"), "a").join(side("b"), "b").where(F.col("id_a") < F.col("id_b"))
-    if extra_code:
-        out = out.where(distance(F.col("second_a"), F.col("second_b")) <= threshold)
-    return out.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), *([distance(F.col("second_a"), F.col("second_b")).alias("dist2")] if extra_code else []), "dist")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    if second is None:
+        side = lambda c, n: classes.select(F.col(code).alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(n))
+        out = near.join(side("a", "n_a"), "a").join(side("b", "n_b"), "b")
+        return out.where(F.col("rep_a") < F.col("rep_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b", "dist")
+    near = near.unionByName(codes.select(F.col("code").alias("a"), F.col("code").alias("b"), F.lit(0).alias("dist")))
+    masks = band_masks(threshold, 2 if threshold <= 8 else 1)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(second).bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
+    wide = classes.select(F.col(code).alias("c1"), F.col(second).alias("c2"), "rep", "n", keys.alias("_k")).select("c1", "c2", "rep", "n", F.col("_k.m").alias("m"), F.col("_k.k").alias("k"))
+    left = near.join(wide.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), "m", "k"), "a")
+    out = left.join(wide.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), "m", "k"), ["b", "m", "k"])
+    diff = F.col("a2").bitwiseXOR(F.col("b2"))
+    first = F.lit(len(masks))
+    for i, m in reversed(list(enumerate(masks))):
+        first = F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(first)
+    out = out.where((F.col("rep_a") < F.col("rep_b")) & (F.bit_count(diff) <= threshold) & (first == F.col("m")))
+    return out.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b", F.greatest("dist", F.bit_count(diff).cast("int")).alias("dist"))

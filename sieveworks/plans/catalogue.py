@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveworks.plans import small_files
+from sieveworks.plans import files, small_files
 
-MODULES = [small_files]
+MODULES = [files, small_files]
 
 
 def queries() -> dict:
