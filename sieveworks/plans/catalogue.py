@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveworks.plans import curation, evaluation, files, small_files
+from sieveworks.plans import curation, evaluation, files, rasters, small_files
 
-MODULES = [files, curation, evaluation, small_files]
+MODULES = [files, curation, evaluation, rasters, small_files]
 
 
 def queries() -> dict:
