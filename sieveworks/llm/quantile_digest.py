@@ -16,6 +16,7 @@ data's own value.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,18 +83,50 @@ def merge(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _compressed(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Every group compressed; a task sees its groups one after another and holds one group and a batch of rows."""
     kinds = dict(nodes.dtypes)
+    cols = [*by, "level", "node", "n"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", level int, node bigint, n bigint"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        lv, nd, ct = compress(pdf["level"].to_numpy(), pdf["node"].to_numpy(), pdf["n"].to_numpy())
-        out = pd.DataFrame({"level": lv, "node": nd, "n": ct})
-        for i, c in enumerate(by):
-            out.insert(i, c, pdf[c].iloc[0])
-            out[c] = out[c].astype(pdf[c].dtype)
-        return out
-
-    return nodes.groupBy(*by).applyInPandas(one, schema)
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = np.flatnonzero(_new_group(pdf, by))
+        totals = np.add.reduceat(pdf["n"].to_numpy(), starts)
+        ends = np.append(starts[1:], len(pdf))
+        large = np.flatnonzero(totals >= K)
+        if not len(large):
+            return pdf
+        parts = [pdf[np.repeat(totals < K, ends - starts)]]  # below K rows nothing can be moved up
+        for i in large:
+            part = pdf.iloc[starts[i] : ends[i]]
+            lv, nd, ct = compress(part["level"].to_numpy(), part["node"].to_numpy(), part["n"].to_numpy())
+            parts.append(part.iloc[[0] * len(lv)].assign(level=lv, node=nd, n=ct))
+        return pd.concat(parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                last = np.flatnonzero(_new_group(pdf, by))[-1]
+                if last:
+                    yield done(pdf.iloc[:last])
+                held = pdf.iloc[last:]
+        if held is not None and len(held):
+            yield done(held)
+
+    sorted_ = nodes.select(*[F.col(c).cast("int").alias(c) if c == "level" else F.col(c) for c in cols]).repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by)
+    return sorted_.mapInPandas(run, schema)
+
+
+def _new_group(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """True at each row whose group differs from that of the row before; nulls are equal."""
+    out = np.zeros(len(pdf), bool)
+    out[0] = True
+    for c in by:
+        now, null = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+        with np.errstate(invalid="ignore"):
+            out[1:] |= ((now[1:] != now[:-1]) & ~(null[1:] & null[:-1])) | (null[1:] != null[:-1])
+    return out
 
 
 def percentiles(digest: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
