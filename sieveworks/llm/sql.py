@@ -38,15 +38,16 @@ edge AS (SELECT a, b FROM link WHERE a <> b UNION SELECT b, a FROM link WHERE a
 reach AS (SELECT DISTINCT a AS rel_path, a AS seen FROM edge UNION SELECT r.rel_path, e.b FROM reach r JOIN edge e ON e.a = r.seen)
 SELECT min(seen) AS group_path, rel_path FROM reach GROUP BY rel_path"""
 
-P6_CUTOFFS = f"""
+_EDGES = f"""
 WITH latest AS ({_LATEST}),
 rows AS (SELECT {_word("model")} AS m, {_word("condition")} AS c, item_id, margin FROM latest WHERE {_USABLE}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY m, c ORDER BY margin DESC) AS r, count(*) OVER (PARTITION BY m, c) AS n FROM rows WHERE m IS NOT NULL AND c IS NOT NULL),
-edges AS (SELECT t.model, t.condition, t.keep_permille, q.m, q.c, q.n, q.margin AS cutoff FROM keep_targets t
-  JOIN ranked q ON q.m = {_word("t.model")} AND q.c = {_word("t.condition")} AND q.r = greatest(1, (q.n * t.keep_permille + 999) // 1000))
-SELECT e.model, e.condition, e.keep_permille, e.n, e.cutoff, count(*) AS kept FROM edges e JOIN rows r ON r.m = e.m AND r.c = e.c AND r.margin >= e.cutoff GROUP BY ALL"""
+edges AS (SELECT t.model, t.condition, t.keep_permille, q.m, q.c, coalesce(q.n, 0) AS n, q.margin AS cutoff FROM keep_targets t
+  LEFT JOIN ranked q ON q.m = {_word("t.model")} AND q.c = {_word("t.condition")} AND q.r = greatest(1, (q.n * t.keep_permille + 999) // 1000))"""
 
-P6_FOUND = P6_CUTOFFS.replace("SELECT e.model, e.condition, e.keep_permille, e.n, e.cutoff, count(*) AS kept FROM edges", "SELECT r.item_id FROM edges").replace(" GROUP BY ALL", "")
+P6_CUTOFFS = f"{_EDGES} SELECT e.model, e.condition, e.keep_permille, e.n, e.cutoff, count(r.item_id) AS kept FROM edges e LEFT JOIN rows r ON r.m = e.m AND r.c = e.c AND r.margin >= e.cutoff GROUP BY ALL"
+
+P6_FOUND = f"{_EDGES} SELECT r.item_id FROM edges e JOIN rows r ON r.m = e.m AND r.c = e.c AND r.margin >= e.cutoff"
 
 _SHA = "CASE WHEN regexp_matches(lower(trim(sha256)), '^(0x)?[0-9a-f]+$') THEN regexp_replace(lower(trim(sha256)), '^0x', '') END"
 _CODE = "CASE WHEN regexp_matches(lower(trim(phash)), '^(0x)?[0-9a-f]{1,16}$') AND NOT regexp_matches(lower(trim(phash)), '^(0x)?0+$') THEN ('0x' || regexp_replace(lower(trim(phash)), '^0x', ''))::UBIGINT END"
