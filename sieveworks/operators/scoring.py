@@ -27,6 +27,14 @@ def normalised(records: DataFrame) -> DataFrame:
     return r.select("item_id", "timestamp", F.get("_o", best).alias("choice"), F.round(margin, 6).alias("margin"), F.round(F.exp(F.get("_l", best)), 6).alias("probability"))
 
 
+def letter_ids(encode: Callable[[str], list[int]], n: int) -> list[int]:
+    """M3: the first token of each of the first n letters; raises if a letter has none or two letters share one."""
+    ids = [(encode(c) or [None])[0] for c in LETTERS[:n]]
+    if None in ids or len(set(ids)) < len(ids) or n > len(LETTERS):
+        raise ValueError(f"letters can't be told apart by their first tokens: {ids}")
+    return ids
+
+
 def letter_scorer(stub: Callable[[str, list[str]], list[float]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """M1: a mapInPandas function around a model: prompt and letters to one log-probability per letter."""
 

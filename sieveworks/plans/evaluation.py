@@ -68,6 +68,17 @@ def probe_gate(spark, d):
     return acc.unionByName(flips)
 
 
+def stub_scores(spark, d):
+    """M1, M2 (rows only: the model runs in Python): every question scored by a stand-in for a model."""
+
+    def stub(prompt: str, letters: list[str]) -> list[float]:
+        return [float((len(prompt) * (i + 3)) % 11) for i in range(len(letters))]
+
+    items = table(spark, d, "question_bank").groupBy("question_id").agg(F.min(F.struct("question_text", "options")).alias("x")).select("question_id", "x.question_text", "x.options")
+    r = scoring.score_items(items, stub, 7)
+    return r.select("question_id", "chosen", F.round("margin", 6).alias("margin"), F.array_join("shown", "|").alias("shown"))
+
+
 def latest_records(spark, d):
     return latest_rows(_rec(spark, d), "item_id", "timestamp", ["item_id", "timestamp", "model", "question_id"]).groupBy(word("model").alias("model")).agg(F.count("*").alias("items"), F.countDistinct("question_id").alias("questions"))
 
@@ -140,4 +151,4 @@ SELECT x.item_id, round(list_max(list_transform(list_distinct(list_concat(map_ke
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (record_ids, validate_records, assign_unsafe, log_softmax_argmax, option_shuffle, flip_rate, score_delta, probe_accuracy, chosen_distribution, probe_gate, latest_records, severity_matrix)}
+    return {f.__name__: f for f in (record_ids, validate_records, assign_unsafe, log_softmax_argmax, option_shuffle, flip_rate, score_delta, probe_accuracy, chosen_distribution, probe_gate, stub_scores, latest_records, severity_matrix)}

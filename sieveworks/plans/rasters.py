@@ -62,8 +62,8 @@ def _images(spark, d):
 
 
 def raster_degraded(spark, d):
-    """Digests of all images under the whole sweep (rows only: the operators are numpy)."""
-    out = frames.degraded(_images(spark, d), frames.sweep_table(spark, {**filters.SWEEP, "gaussian_noise": [{"sigma": 0.05}], "clean": [{}]}))
+    """Digests of all images under the whole sweep (rows only: the operators are numpy)."""
+    out = frames.degraded(_images(spark, d), frames.sweep_table(spark, {**filters.SWEEP, "gaussian_noise": [{"sigma": 0.05}], "jpeg": [{"quality": 20}], "clean": [{}]}))
     return out.select("id", "operator", "level", F.sha2("pixels", 256).alias("digest"))
 
 

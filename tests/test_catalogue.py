@@ -25,4 +25,4 @@ def test_entry_points(spark):
 @pytest.mark.parametrize("name", ["raster_degraded", "raster_mask_facts", "raster_controls"])
 def test_raster_queries(spark, name):
     df = catalogue.queries()[name](spark, DATA)
-    assert df.count() == {"raster_degraded": 32, "raster_mask_facts": 1, "raster_controls": 2}[name] * 500
+    assert df.count() == {"raster_degraded": 33, "raster_mask_facts": 1, "raster_controls": 2}[name] * 500

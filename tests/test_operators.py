@@ -244,6 +244,9 @@ def test_scoring(spark):
     gate = {r["check"]: r["passed"] for r in scoring.probe_gate(spark, 0.0, 0.3, 0.6, 0.4).collect()}
     assert gate == {"determinism": True, "flips": False, "accuracy": True}
     assert scoring.gpu_hours(1.0) == 100.0
+    assert scoring.letter_ids(lambda c: [ord(c), 0], 3) == [65, 66, 67]
+    with pytest.raises(ValueError, match="told apart"):
+        scoring.letter_ids(lambda c: [1], 2)
 
 
 # small files
