@@ -16,10 +16,13 @@ SWEEP = [0, 2, 4, 6, 8, 10, 12]
 
 
 def hashed_files(inventory: DataFrame) -> DataFrame:
-    """One row per file with both hashes: rel_path, dataset, class_label, sha, ph, dh (of repeated scans the least values)."""
+    """One row per file with both hashes: rel_path, dataset, class_label, sha, ph, dh (of repeated scans the least values).
+
+    The codes are those of a scan that has both; a scan that lacks one hides no other.
+    """
     rows = inventory.select("rel_path", "dataset", "class_label", hex_digest("sha256").alias("sha"), code64("phash").alias("ph"), code64("dhash").alias("dh"))
-    one = rows.groupBy("rel_path").agg(*[F.min(c).alias(c) for c in ("dataset", "class_label", "sha")], F.min(F.struct("ph", "dh")).alias("x"))
-    return one.select("rel_path", "dataset", "class_label", "sha", "x.ph", "x.dh").where("ph is not null and dh is not null")
+    one = rows.groupBy("rel_path").agg(*[F.min(c).alias(c) for c in ("dataset", "class_label", "sha")], F.min(F.when(F.col("ph").isNotNull() & F.col("dh").isNotNull(), F.struct("ph", "dh"))).alias("x"))
+    return one.where("x is not null").select("rel_path", "dataset", "class_label", "sha", "x.ph", "x.dh")
 
 
 def near_dup(files: DataFrame, threshold: int = THRESHOLD, dual: bool = True) -> DataFrame:

@@ -138,6 +138,16 @@ def test_group_map(spark):
     assert (p["images"], p["groups"], p["singletons"], p["multi"], p["in_multi"], p["largest"]) == (5, 2, 1, 1, 4, 4)
 
 
+def test_scan_without_hash_hides_no_file(spark):
+    hx = lambda n: f"{n:016x}"
+    inv = spark.createDataFrame(
+        [("a", "d", None, "01", None, hx(7)), ("a", "d", None, None, hx(255), hx(7)), ("b", "d", None, "02", hx(254), hx(7)), ("b", "d", None, "02", hx(0), hx(7)), ("c", "d", None, "01", hx(1 << 50), hx(1)), ("d", "d", None, "01", None, None)],
+        "rel_path string, dataset string, class_label string, sha256 string, phash string, dhash string",
+    )
+    assert rows(grouping.hashed_files(inv).select("rel_path", "sha", "ph", "dh")) == [("a", "01", 255, 7), ("b", "02", 254, 7), ("c", "01", 1 << 50, 1)]
+    assert dict((r["rel_path"], r["group"]) for r in grouping.group_map(inv).collect()) == {"a": "a", "b": "a", "c": "a"}
+
+
 # ranks
 @pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, 4.0], [5.0], [1.0] * 50 + [2.0] * 49, [float(i * i % 101) for i in range(500)]])
 def test_percentiles(spark, values):
