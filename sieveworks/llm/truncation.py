@@ -2,11 +2,12 @@
 
 Two kinds of evidence are put together.
 
-* Near-copies: distinct texts that share a min-hash band are sorted by text
-  inside the band's bucket, where every text that begins with another stands
-  behind it; each text is verified against its successor (Jaccard over
-  five-word shingles of 0.8 or more) and aligned with it. A text whose alignment
-  ends early, in the middle of a sentence or line of the copy, was cut.
+* Near-copies: distinct texts that share a min-hash band are candidates if one
+  holds the other's last words and goes on there, which a sub-key of the bucket
+  tells (`candidates`). Every candidate pair, in either order and of any
+  doc_types, is verified (Jaccard over five-word shingles of 0.8 or more) and
+  aligned. A text whose alignment ends early, in the middle of a sentence or
+  line of the copy, was cut.
 * Closing-word terminality, for the rest: how often the closing words of a text
   end a line or a text in all texts of its doc_type, against how often they stand
   inside one. In a doc_type with a usual layout (most of its texts close
@@ -19,11 +20,12 @@ copies.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.llm import minhash
@@ -40,6 +42,8 @@ SIGN_OFF, OTHER_LINE = 0.003, 0.01
 #: In a doc_type in which this share of the documents is one line of fewer words than a shingle has, such a line is a remark and whole.
 BRIEF_SHARE = 0.25
 SALT = 16
+#: Marks that close a sentence.
+STOPS = tuple(".!?。！？")
 #: The closing form of all texts that end like a sentence. A doc_type where it is usual is free text and has no layout.
 STOP = "<stop>"
 
@@ -127,22 +131,67 @@ def terminality(texts: DataFrame) -> DataFrame:
     return t.select("kind", "h", verdict.alias("verdict"))
 
 
+def _places(text: str) -> list[tuple[str, str, str, bool]]:
+    """Every word of a text with the two before it, and whether its line goes on behind it (inside a sentence)."""
+    words = ["", "", *re.sub("\n+", "\n ", text).split(" ")]
+    last = len(words) - 1
+    bare = [w.rstrip("\n") for w in words]
+    return [(bare[i - 2], bare[i - 1], bare[i], i < last and words[i] == bare[i] and bare[i][-1:] not in STOPS) for i in range(2, len(words))]
+
+
+def _hashed(*words: str) -> int:
+    return xxhash.xxh64_intdigest("\n".join(words)) - (1 << 63)
+
+
+def end_key(text: str) -> int:
+    """Hash of the last three words, the last of which may be broken off."""
+    return _hashed(*_places(text)[-1][:3])
+
+
+def inner_keys(text: str) -> list[int]:
+    """The end keys of all texts that end where this one goes on: three words, the last one whole or any beginning of it."""
+    return list({_hashed(a, b, w[:k]) for a, b, w, on in _places(text) for k in range(1, len(w) + on)})
+
+
+def candidates(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """short, other: texts of one bucket of which the second holds the end of the first and goes on there.
+
+    members: key, h. texts: h, canon. No pair that ``ends_early`` accepts is
+    left out: the two words before the last stand in both texts alike, and the
+    last is a beginning of the other's word.
+    """
+
+    @F.pandas_udf("bigint")
+    def end(s: pd.Series) -> pd.Series:
+        return s.map(end_key)
+
+    @F.pandas_udf("array<bigint>")
+    def inner(s: pd.Series) -> pd.Series:
+        return s.map(inner_keys)
+
+    shared = texts.join(members.select("h").distinct(), "h", "left_semi")
+    ends = cut(shared.select("h", end("canon").alias("sub")))
+    goes_on = shared.select("h", F.explode(inner("canon")).alias("sub")).join(ends.select("sub").distinct(), "sub", "left_semi")
+    short = members.join(ends, "h").select("key", "sub", F.col("h").alias("short"))
+    other = members.join(goes_on, "h").select("key", "sub", F.col("h").alias("other"))
+    return short.join(other, ["key", "sub"]).where("short <> other").select("short", "other").distinct()
+
+
 def aligned(texts: DataFrame) -> DataFrame:
-    """kind, h of the texts whose verified near-copy goes on in the middle of a sentence or line where they end."""
-    keyed = texts.select("kind", "h", F.explode(minhash.bands(F.col("canon"))).alias("key"))
-    keyed = cut(keyed)
+    """kind, h of the texts with a verified near-copy, of any doc_type, that goes on in the middle of a sentence or line where they end."""
+    once = texts.dropDuplicates(["h"]).select("h", "canon")
+    keyed = cut(once.select("h", F.explode(minhash.bands(F.col("canon"))).alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keyed.join(shared, "key", "left_semi")
-    rows = members.join(texts, ["kind", "h"]).select("key", "kind", "h", "canon")
-    succ = rows.withColumn("next", F.lead("canon").over(W.partitionBy("key").orderBy("canon", "kind")))
-    pairs = succ.where(F.col("next").isNotNull() & (F.col("next") != F.col("canon"))).select("kind", "h", "canon", "next").distinct()
+    pairs = cut(candidates(cut(keyed.join(shared, "key", "left_semi")), once))
 
     @F.pandas_udf("boolean")
     def early(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([ends_early(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return pairs.where(early("canon", "next")).select("kind", "h").distinct()
+    side = lambda name: once.select(F.col("h").alias(name), F.col("canon").alias(f"{name}_text"))
+    found = pairs.join(side("short"), "short").join(side("other"), "other").where(early("short_text", "other_text"))
+    return texts.join(found.select(F.col("short").alias("h")).distinct(), "h", "left_semi").select("kind", "h")
 
 
 def ends_early(short: str, other: str) -> bool:
@@ -153,7 +202,7 @@ def ends_early(short: str, other: str) -> bool:
     if at < 0 or abs(at + len(tail) - len(short)) > 0.2 * len(short) + 10:
         return False
     rest = other[at + len(tail) :]
-    if not rest.strip() or rest[0] == "\n" or (short[-1] in ".!?。！？" and not rest[0].isalnum()):
+    if not rest.strip() or rest[0] == "\n" or (short[-1] in STOPS and not rest[0].isalnum()):
         return False
     return minhash.jaccard(minhash.shingles(short), minhash.shingles(other)) >= minhash.SIMILARITY
 

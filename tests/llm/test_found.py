@@ -246,6 +246,31 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_near_copies_in_any_order(spark):
+    r = random.Random(10)
+    body = " ".join(f"word{r.randrange(900)}" for _ in range(80))
+    docs = [(1, f"Dear Ann {body} shows the large polyp near the fold", "mail"), (2, f"Dear Tom {body} shows the lar", "mail")]
+    docs += [(3, f"{body} first end of the sheet", "a"), (4, f"{body} first end", "a"), (5, f"{body} first end\nnext line", "a"), (6, f"{body} first end", "b")]
+    docs += [(7, f"{body} was kept.", "a"), (8, f"{body} was kept. Then it was shown.", "a")]
+    texts = spark.createDataFrame(docs, "id int, canon string, kind string").withColumn("h", F.md5("canon"))
+    got = texts.join(truncation.aligned(texts), ["kind", "h"])
+    assert rows(got.select("id")) == [(2,), (4,), (6,)]
+
+
+def test_candidates_hold_every_early_end(spark):
+    r = random.Random(11)
+    base = [f"{w}{r.choice(['', '', ',', '.', '。'])}" for w in (r.choice(["mask", "lesion", "view", "x", "画像は"]) for _ in range(70))]
+    texts = set()
+    for _ in range(120):
+        t = "".join(w + r.choice(["\n"] + [" "] * 12) for w in base[: r.randrange(60, 70)])
+        texts.add(t[: len(t) - r.randrange(9)].strip(" \n"))
+    texts |= {"a", "a b", "a b c", "a\nb\nc\nd\ne f", "a\nb\nc\nd\ne f g"}
+    for x in texts:
+        for y in texts:
+            if x != y and truncation.ends_early(x, y):
+                assert truncation.end_key(x) in truncation.inner_keys(y)
+
+
 def test_aligned_copy():
     a = " ".join(f"word{i}" for i in range(60))
     assert truncation.ends_early(a, a + " and goes on.")
