@@ -53,6 +53,21 @@ def group_map(inventory: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return files.join(comp.withColumnRenamed("id", "rel_path"), "rel_path").select("rel_path", "dataset", "class_label", F.col("component").alias("group"))
 
 
+def linked_keys(inventory: DataFrame, keys: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """J2 over files with and without hashes: rel_path and group (least key of the component).
+
+    keys: rel_path, key; files of one key are exact copies, and keys with near
+    copies within the threshold in both hashes are linked. Files without hashes
+    are linked by their key alone.
+    """
+    files = cut(hashed_files(inventory))
+    near = near_dup(files, threshold).select("a", "b").unionByName(class_members(files).select(F.col("rep").alias("a"), F.col("rel_path").alias("b")))
+    of = lambda c: keys.select(F.col("rel_path").alias(c), F.col("key").alias(f"k_{c}"))
+    links = near.join(of("a"), "a").join(of("b"), "b").select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    comp = components(keys.select(F.col("key").alias("id")), links)
+    return keys.join(comp.withColumnRenamed("id", "key"), "key").select("rel_path", F.col("component").alias("group"))
+
+
 def profile(groups: DataFrame) -> DataFrame:
     """F8: one row over all groups."""
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.normal import hex_digest, word
 from sieveworks.functions.scalars import stem
-from sieveworks.operators import bank, pools
+from sieveworks.operators import bank, grouping, pools
 from sieveworks.session import cut, table
 
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    """Images with pool and group; a group is the files of one digest (a file without one is alone)."""
+    """Images with pool and group: exact and near copies, directly or through others, named after the least digest (path of a file without one)."""
     inv = table(spark, d, "inventory").where(F.col("readable") & ~F.col("dataset").endswith("-masks"))
     rows = inv.groupBy("rel_path").agg(F.min("dataset").alias("dataset"), F.min("class_label").alias("class_label"), F.min(hex_digest("sha256")).alias("sha"))
-    rows = rows.select("rel_path", "dataset", F.when(F.col("dataset") == "kvasir-seg-images", "polyps").otherwise(F.col("class_label")).alias("class_label"), F.coalesce("sha", "rel_path").alias("group"))
-    return pools.row_pools(rows)
+    rows = rows.select("rel_path", "dataset", F.when(F.col("dataset") == "kvasir-seg-images", "polyps").otherwise(F.col("class_label")).alias("class_label"), F.coalesce("sha", "rel_path").alias("key"))
+    rows = cut(rows)
+    groups = grouping.linked_keys(inv, rows.select("rel_path", "key"))
+    return cut(pools.row_pools(rows.drop("key").join(groups, "rel_path")))
 
 
 def class_pools(spark, d):
@@ -52,27 +54,29 @@ def tertile_bins(spark, d):
     return s.groupBy("stratum").agg(F.count("*").alias("groups"))
 
 
-def _split(spark, d):
-    s = cut(pools.strata(_usable(spark, d), pools.mask_areas(table(spark, d, "inventory"))))
+def _split(spark, d, rows):
+    s = cut(pools.strata(rows, pools.mask_areas(table(spark, d, "inventory"))))
     return pools.stratified_split(s, "group", "stratum")
 
 
 def stratified_split(spark, d):
-    return _split(spark, d).select("group", "stratum", "split")
+    return _split(spark, d, _usable(spark, d)).select("group", "stratum", "split")
 
 
 def split_pivot(spark, d):
-    return pools.split_counts(_split(spark, d))
+    return pools.split_counts(_split(spark, d, _usable(spark, d)))
 
 
 def split_images(spark, d):
     """F16: images and groups per split."""
-    r = _usable(spark, d).select("rel_path", "group").join(_split(spark, d).select("group", "split"), "group")
+    rows = _usable(spark, d)
+    r = rows.select("rel_path", "group").join(_split(spark, d, rows).select("group", "split"), "group")
     return r.groupBy("split").agg(F.count("*").alias("images"), F.countDistinct("group").alias("groups"))
 
 
 def split_invariants(spark, d):
-    r = _usable(spark, d).select("group", "pool").join(_split(spark, d).select("group", "split"), "group", "left")
+    rows = _usable(spark, d)
+    r = rows.select("group", "pool").join(_split(spark, d, rows).select("group", "split"), "group", "left")
     return pools.split_violations(r)
 
 
@@ -88,7 +92,8 @@ def _facts(spark, d):
 
 
 def _items(spark, d):
-    canon = pools.canonical_rows(_usable(spark, d)).join(_split(spark, d).select("group", "split"), "group")
+    usable = _usable(spark, d)
+    canon = pools.canonical_rows(usable).join(_split(spark, d, usable).select("group", "split"), "group")
     rows = cut(canon.withColumn("stem", stem(F.col("rel_path"))).join(_facts(spark, d), "stem", "left").drop("stem"))
     return bank.build_items(rows, bank.template_table(spark), bank.paraphrased_groups(rows))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import normal, scalars
 from sieveworks.operators import bank, blockcopy, components, grouping, hamming, inventory, pools, ranks, records, scoring
+from sieveworks.plans import curation
 from sieveworks.sources import shards, thrift
 
 
@@ -148,6 +149,21 @@ def test_scan_without_hash_hides_no_file(spark):
     assert dict((r["rel_path"], r["group"]) for r in grouping.group_map(inv).collect()) == {"a": "a", "b": "a", "c": "a"}
 
 
+def test_near_copies_share_a_group_and_split(spark, tmp_path):
+    hx = lambda n: f"{n:016x}"
+    far = lambda i: hx((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    files = [(f"i/cecum/{c}{i:02d}.jpg", "hyper", "cecum", f"{i:02x}{j}", True, hx(int(far(i), 16) ^ (j << j)), far(i + 50)) for i in range(20) for j, c in enumerate("ab")]
+    files += [("i/cecum/z.jpg", "hyper", "cecum", "000", True, None, None), ("i/cecum/y.jpg", "hyper", "cecum", None, True, None, None), ("i/masks/m.png", "x-masks", None, None, True, None, None)]
+    inv = spark.createDataFrame(files, "rel_path string, dataset string, class_label string, sha256 string, readable boolean, phash string, dhash string")
+    d = str(tmp_path)
+    inv.withColumn("mask_area_frac", F.lit(0.5)).write.parquet(f"{d}/inventory.parquet")
+    group = {r["rel_path"]: r["group"] for r in curation.usable_rows(spark, d).collect()}
+    assert all(group[f"i/cecum/a{i:02d}.jpg"] == group[f"i/cecum/b{i:02d}.jpg"] == f"{i:02x}0" for i in range(20))
+    assert group["i/cecum/z.jpg"] == "000" and group["i/cecum/y.jpg"] == "i/cecum/y.jpg"
+    assert curation.stratified_split(spark, d).count() == curation.canonical_row(spark, d).count() == len(set(group.values())) == 21
+    assert tuple(curation.split_invariants(spark, d).first()) == (0, 0, 0)
+
+
 # ranks
 @pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, 4.0], [5.0], [1.0] * 50 + [2.0] * 49, [float(i * i % 101) for i in range(500)]])
 def test_percentiles(spark, values):
