@@ -122,13 +122,19 @@ def spread(units: dict[str, dict[str, int]], shares: list[tuple[str, float]]) ->
 
 
 def split_records(records: DataFrame, bank: DataFrame, proportions: DataFrame) -> DataFrame:
-    """One row per group of records: group_id, component, n (rows) and the assigned split; rows without a group are a component each, by question and item.
+    """One row per group of records: group_id, component, n (rows), lo and hi (least and greatest present split, null if none) and the assigned split; rows without a group are a component each, by question and item.
 
     The entities that keep records together are their groups; a record whose
     row lacks the group takes that of its question.
     """
     pools = bank.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.min(word("pool")).alias("label"))
-    rows = cut(record_groups(records, bank).join(pools, "question_id", "left").select(F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat_ws("|", F.lit("r"), "item_id", "question_id")).alias("entity"), F.col("item_id").alias("record"), "group_id", "label"))
+    rows = cut(record_groups(records, bank).join(pools, "question_id", "left").select(F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat_ws("|", F.lit("r"), "item_id", "question_id")).alias("entity"), F.col("item_id").alias("record"), "group_id", "label", F.col("split").alias("present")))
     comps = entity_components(rows.select("record", "entity"))
     placed = cut(rows.join(comps, "entity"))
-    return placed.groupBy("group_id", "component").agg(F.count("*").alias("n")).join(assign(placed.select("component", "label"), proportions), "component").select("group_id", "component", "n", "split")
+    groups = placed.groupBy("group_id", "component").agg(F.count("*").alias("n"), F.min("present").alias("lo"), F.max("present").alias("hi"))
+    return groups.join(assign(placed.select("component", "label"), proportions), "component").select("group_id", "component", "n", "lo", "hi", "split")
+
+
+def divided(placed: DataFrame) -> DataFrame:
+    """group_id of the placed groups (of ``split_records``) whose rows carry more than one present split; missing splits and groups are ignored."""
+    return placed.where(F.col("group_id").isNotNull() & (F.col("lo") != F.col("hi"))).select("group_id")

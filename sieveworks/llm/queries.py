@@ -42,12 +42,16 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantile_digest.percentiles(merged, ["model", "severity"], PERCENTILES)
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return group_split.split_records(table(spark, d, "records"), table(spark, d, "question_bank"), table(spark, d, "split_proportions"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return group_split.conflicts(group_split.record_groups(table(spark, d, "records"), table(spark, d, "question_bank")))
+    return group_split.divided(_placed(spark, d))
 
 
 def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return group_split.split_records(table(spark, d, "records"), table(spark, d, "question_bank"), table(spark, d, "split_proportions"))
+    return _placed(spark, d).select("group_id", "component", "n", "split")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

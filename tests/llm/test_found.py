@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveworks.llm import cutoffs, group_split, match_groups, minhash, packing, quantile_digest, quota_sample, selection, split_overlap, tokens, truncation
+from sieveworks.llm import cutoffs, group_split, match_groups, minhash, packing, quantile_digest, queries, quota_sample, selection, split_overlap, tokens, truncation
 
 
 def rows(df):
@@ -90,6 +90,21 @@ def test_conflicts_and_groups(spark):
     assert rows(group_split.conflicts(group_split.record_groups(recs.limit(0), bank))) == []
 
 
+def test_divided_groups_come_from_the_assignment(spark, monkeypatch):
+    recs = [("a", "q", "train", "G-7"), ("b", "q", "Test", "0000000007"), ("c", "q", "cal", "8.0"), ("d", "q", "NaN", "grp_8 "), ("e", "q2", "cal", None), ("f", "q2", "test", None), ("g", "q3", "cal", None), ("g", "q3", "test", None), ("a", "q", "train", "8")]
+    bank = spark.createDataFrame([("q2", 9, "polyp"), ("q2", None, None), ("q", 1, "dyed")], "question_id string, group_id bigint, pool string")
+    prop = spark.createDataFrame([("train", 0.5, 0), ("test", 0.5, 1)], "split string, proportion double, ord int")
+    tables = {"records": spark.createDataFrame(recs, "item_id string, question_id string, split string, group_id string"), "question_bank": bank, "split_proportions": prop}
+    monkeypatch.setattr(queries, "table", lambda _s, _d, name: tables[name])
+    assigned, assign = [], group_split.assign
+    monkeypatch.setattr(group_split, "assign", lambda *a: assigned.append(1) or assign(*a))
+    assert rows(queries.p3_found(spark, "")) == [(7,), (8,), (9,)] and assigned
+    placed = {r["group_id"]: r for r in queries.p3_assignment(spark, "").collect() if r["group_id"]}
+    assert placed[7]["component"] == placed[8]["component"] and placed[7]["split"] == placed[8]["split"]
+    tables["records"] = tables["records"].limit(0)
+    assert rows(queries.p3_found(spark, "")) == []
+
+
 def test_entity_components(spark):
     links = [("r1", "a"), ("r1", "b"), ("r2", "b"), ("r2", "c"), ("r3", "z"), (None, "y"), ("r4", None), ("r5", "x"), ("r5", "x")] + [(f"c{i}", f"e{j:02d}") for i in range(30) for j in (i, i + 1)]
     got = dict(rows(group_split.entity_components(spark.createDataFrame(links, "record string, entity string"))))
