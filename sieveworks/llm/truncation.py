@@ -14,7 +14,7 @@ Two kinds of evidence are put together.
   with one of a few forms) a text that closes otherwise was cut.
 
 Statistics are taken over all distinct texts, so that repeated copies of a cut
-text do not make its end look usual; only the share of stock remarks counts
+text do not make its end look usual; only the shares of stock remarks count
 copies.
 """
 
@@ -39,8 +39,12 @@ LOOK_ALIKE = "аеорсхуі", "aeopcxyi"
 USUAL_FORM, USUAL_COVER = 0.05, 0.8
 #: A whole closing line is a sign-off from this share of its doc_type on: after a blank line, a comma or as a dashed line, and elsewhere.
 SIGN_OFF, OTHER_LINE = 0.003, 0.01
-#: In a doc_type in which this share of the documents is one line of fewer words than a shingle has, such a line is a remark and whole.
+#: In a doc_type in which this share of the documents is one line of fewer words than a shingle has, such a line is a remark.
+#: It is whole from a share SIGN_OFF of the documents on, so that below 1 / SIGN_OFF documents one is enough; if characters
+#: of unspaced scripts, counted as words, make it longer, from OTHER_LINE and two on.
 BRIEF_SHARE = 0.25
+#: A character of a script that is written without blanks.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 SALT = 16
 #: Marks that close a sentence.
 STOPS = tuple(".!?。！？")
@@ -72,11 +76,12 @@ def _closings(texts: DataFrame) -> DataFrame:
     lines = F.split(bare, "\n")
     t = texts.select("kind", "h", "canon", "copies", bare.alias("bare"), F.element_at(lines, -1).alias("line"), F.when(F.size(lines) > 1, F.element_at(lines, -2)).alias("above"))
     words = F.split(F.trim("line"), " ")
+    single = F.split(F.trim(F.regexp_replace("line", UNSPACED, " $1 ")), " +")
     last = F.element_at(words, -1)
     tag = F.regexp_extract("line", r"(</\w+>)$", 1)
     stop = F.col("bare").rlike(r"[.!?。！？][\"'”’»)\]]*$")
     return t.select(
-        "kind", "h", "line", "copies", (F.col("above").isNull() & (F.size(words) < minhash.WORDS)).alias("brief"),
+        "kind", "h", "line", "copies", (F.col("above").isNull() & (F.size(words) < minhash.WORDS)).alias("brief"), (F.size(single) < minhash.WORDS).alias("few"),
         F.when(F.size(words) > 1, F.element_at(words, -2)).otherwise("").alias("p"), last.alias("w"),
         F.when(tag != "", tag).when(stop, STOP).otherwise(last).alias("form"),
         F.col("canon").rlike(MARK).alias("mark"), F.col("bare").endswith("�").alias("broken"),
@@ -103,11 +108,11 @@ def _salted(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def terminality(texts: DataFrame) -> DataFrame:
     """kind, h, verdict of every distinct text: cut or whole, by its closing words."""
     ends = cut(_closings(texts))
-    sizes = ends.groupBy("kind").agg(F.count("*").alias("texts"), (F.sum(F.when(F.col("brief"), F.col("copies")).otherwise(0)) / F.sum("copies")).alias("brief_share"))
+    sizes = ends.groupBy("kind").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents"), (F.sum(F.when(F.col("brief"), F.col("copies")).otherwise(0)) / F.sum("copies")).alias("brief_share"))
     forms = ends.groupBy("kind", "form").agg(F.count("*").alias("n")).join(sizes, "kind")
     usual = forms.where((F.col("n") >= 2) & (F.col("n") >= USUAL_FORM * F.col("texts")))
     layout = usual.groupBy("kind").agg(F.sum("n").alias("covered"), F.collect_set("form").alias("usual"), F.first("texts").alias("texts")).where((F.col("covered") >= USUAL_COVER * F.col("texts")) & ~F.array_contains("usual", STOP)).select("kind", "usual")
-    lines = ends.where(F.length("line") <= 60).groupBy("kind", "line").agg(F.count("*").alias("line_n"))
+    lines = ends.where(F.length("line") <= 60).groupBy("kind", "line").agg(F.count("*").alias("line_n"), F.sum(F.when(F.col("brief"), F.col("copies")).otherwise(0)).alias("said"))
     closing = ends.groupBy("kind", "p", "w").agg(F.count("*").alias("closes"))
     grams = cut(_bigrams(texts).join(ends.select("kind", "w").distinct(), ["kind", "w"], "left_semi"))
     pairs = closing.join(grams, ["kind", "p", "w"], "left").fillna(0, ["ends", "inside"])
@@ -117,13 +122,15 @@ def terminality(texts: DataFrame) -> DataFrame:
     t = t.join(sizes, "kind").join(layout, "kind", "left")
     line_share = F.when(F.col("line_n") >= 2, F.col("line_n") / F.col("texts")).otherwise(0.0)
     signed = (line_share >= OTHER_LINE) | (F.col("apart") & (line_share >= SIGN_OFF))
+    said = F.coalesce("said", F.lit(0))
+    remark = F.when(F.col("few"), said >= SIGN_OFF * F.col("documents")).otherwise((said >= 2) & (said >= OTHER_LINE * F.col("documents")))
     seen, w_seen = F.col("ends") + F.col("inside"), F.col("w_ends") + F.col("w_inside")
     inner = F.when(seen > 0, F.col("ends") >= 0.5 * seen).otherwise((w_seen > 0) & (F.col("w_ends") >= 0.5 * w_seen))
     number_ok = (seen > 0) | ((F.col("closes") >= 2) & (F.col("closes") >= SIGN_OFF * F.col("texts")))
     verdict = (
         F.when(F.col("mark") | F.col("broken"), "cut")
         .when(F.col("usual").isNotNull(), F.when(F.array_contains("usual", F.col("form")), "whole").otherwise("cut"))
-        .when(F.col("brief") & (F.col("brief_share") >= BRIEF_SHARE), "whole")
+        .when(F.col("brief") & (F.col("brief_share") >= BRIEF_SHARE) & remark, "whole")
         .when(F.col("stop"), F.when(F.col("number") & ~number_ok, "cut").otherwise("whole"))
         .when(signed | inner, "whole")
         .otherwise("cut")

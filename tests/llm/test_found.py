@@ -261,6 +261,16 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_remarks_are_whole_by_how_often_they_occur(spark):
+    said = ["agreed", "same as before, keep", "問題はありません"]
+    docs = [(i, said[i % 3]) for i in range(600)]
+    docs += [(700, "same as before, ke"), (701, "第二評価者によれば病変は再確"), (702, "第二評価者によれば病変は再確認された。"), (703, "аgreed"), (704, "agreed 👍")]
+    df = spark.createDataFrame([(i, t, "notes", "short") for i, t in docs], "doc_id bigint, text string, source string, doc_type string")
+    assert rows(truncation.truncated(df).where("cut").select("doc_id")) == [(700,), (701,)]
+    few = df.where("doc_id < 20 or doc_id = 701").unionByName(df.where("doc_id = 0").withColumn("text", F.lit("ok for me")))
+    assert rows(truncation.truncated(few).where("cut").select("doc_id")) == [(701,)]
+
+
 def test_near_copies_in_any_order(spark):
     r = random.Random(10)
     body = " ".join(f"word{r.randrange(900)}" for _ in range(80))
