@@ -178,10 +178,18 @@ def candidates(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     shared = texts.join(members.select("h").distinct(), "h", "left_semi")
     ends = cut(shared.select("h", end("canon").alias("sub")))
-    goes_on = shared.select("h", F.explode(inner("canon")).alias("sub")).join(ends.select("sub").distinct(), "sub", "left_semi")
-    short = members.join(ends, "h").select("key", "sub", F.col("h").alias("short"))
+    goes_on = cut(shared.select("h", F.explode(inner("canon")).alias("sub")).join(ends.select("sub").distinct(), "sub", "left_semi"))
+    met = ends.join(goes_on.select("sub").distinct(), "sub", "left_semi")
+    short = members.join(met, "h").select("key", "sub", F.col("h").alias("short"))
     other = members.join(goes_on, "h").select("key", "sub", F.col("h").alias("other"))
-    return short.join(other, ["key", "sub"]).where("short <> other").select("short", "other").distinct()
+    return sub_key_pairs(short, other).where("short <> other").distinct()
+
+
+def sub_key_pairs(short: DataFrame, other: DataFrame) -> DataFrame:
+    """short, other of equal key and sub; the others of one sub-key are dealt to SALT tasks, so that no bucket lies in one. Only names are joined, no texts."""
+    many = short.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    dealt = other.withColumn("_s", F.pmod(F.xxhash64("other"), F.lit(SALT)).cast("int"))
+    return many.join(dealt, ["key", "sub", "_s"]).select("short", "other")
 
 
 def aligned(texts: DataFrame) -> DataFrame:

@@ -282,6 +282,21 @@ def test_near_copies_in_any_order(spark):
     assert rows(got.select("id")) == [(2,), (4,), (6,)]
 
 
+def test_hot_bucket_is_split(spark):
+    body = " ".join(f"word{i}" for i in range(80))
+    docs = [f"Note {i} {body} was kept." for i in range(200)] + [f"Zone {i} {body} was" for i in range(3)]
+    texts = spark.createDataFrame([(t,) for t in docs], "canon string").withColumn("h", F.md5("canon"))
+    pairs = truncation.candidates(texts.select(F.lit(1).alias("key"), "h"), texts)
+    assert pairs.count() == 3 * 200 and pairs.select("short").distinct().count() == 3
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        short, other = (spark.range(n).select(F.lit(1).alias("key"), F.lit(2).alias("sub"), F.col("id").cast("string").alias(c)) for n, c in ((3, "short"), (200, "other")))
+        joined = truncation.sub_key_pairs(short.hint("merge"), other)
+        assert joined.count() == 600 and joined.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_candidates_hold_every_early_end(spark):
     r = random.Random(11)
     base = [f"{w}{r.choice(['', '', ',', '.', '。'])}" for w in (r.choice(["mask", "lesion", "view", "x", "画像は"]) for _ in range(70))]
