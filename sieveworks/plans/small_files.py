@@ -10,15 +10,19 @@ from sieveworks.session import scratch_path, table
 from sieveworks.sources.shards import scan_records
 
 
+#: Records of a piece at most: the parsed records land in files as small as frequent writers leave them.
+PIECE_ROWS = 5000
+
+
 def _compacted(spark: SparkSession, d: str, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
     """What the merged files hold, and what each was made of.
 
     The tiny files are texts in many formats, whose bytes can't be copied into
-    one file as they are. They are parsed and written as parquet by many tasks,
-    and these files' encoded blocks are then copied into well-sized files.
+    one file as they are. They are parsed and land as many small parquet pieces,
+    whose encoded blocks are then copied into well-sized files.
     """
     pieces, merged = scratch_path(spark, "pieces"), scratch_path(spark, "merged")
-    scan_records(table(spark, d, "raw_shards"), table(spark, d, "inventory")).write.parquet(pieces)
+    scan_records(table(spark, d, "raw_shards")).write.option("maxRecordsPerFile", PIECE_ROWS).parquet(pieces)
     made = consolidate(spark, pieces, merged, target_bytes)
     return (spark.read.parquet(merged) if made.count() else spark.read.parquet(pieces)), made
 
@@ -28,32 +32,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of the merged files: files that went in, rows, and files that came out."""
-    return _compacted(spark, d)[1].agg(F.sum("rows").alias("rows"), F.count("*").alias("merged_files"), (F.sum("files") >= F.count("*")).alias("fewer"))
-
-
-_LINES = r"""
-lines AS (SELECT unnest(regexp_split_to_array(ltrim(payload, chr(65279)), '\r\n|\n|\r')) AS line FROM raw_shards),
-parsed AS (SELECT
-  CASE WHEN line LIKE '{%' THEN CASE WHEN json_valid(line) THEN line ->> '$.rel_path' END
-    WHEN regexp_matches(line, '^"([^"]|"")*",\d+,\d+$') THEN replace(regexp_extract(line, '^"((?:[^"]|"")*)",(\d+),(\d+)$', 1), '""', '"')
-    WHEN regexp_matches(line, '^[^\t]+\t\d+\t\d+$') THEN regexp_extract(line, '^([^\t]+)\t', 1)
-    WHEN regexp_matches(line, '^(\w+=[^;]*;)+$') THEN regexp_extract(line, '(?:^|;)rel_path=([^;]*);', 1) END AS p,
-  CASE WHEN line LIKE '{%' THEN CASE WHEN json_valid(line) THEN line ->> '$.run' END
-    WHEN line LIKE '"%' THEN regexp_extract(line, '",(\d+),\d+$', 1)
-    WHEN line LIKE 'bytes=%' OR line LIKE 'run=%' OR line LIKE 'rel_path=%' THEN regexp_extract(line, '(?:^|;)run=(\d+);', 1)
-    ELSE regexp_extract(line, '\t(\d+)\t\d+$', 1) END AS r,
-  CASE WHEN line LIKE '{%' THEN CASE WHEN json_valid(line) THEN line ->> '$.bytes' END
-    WHEN line LIKE 'bytes=%' OR line LIKE 'run=%' OR line LIKE 'rel_path=%' THEN regexp_extract(line, '(?:^|;)bytes=(\d+);', 1)
-    ELSE regexp_extract(line, '[,\t](\d+)$', 1) END AS b
-  FROM lines),
-found AS (SELECT DISTINCT regexp_replace(trim(replace(p, '\', '/')), '^(\./+)+', '') AS rel_path, try_cast(r AS INTEGER) AS run FROM parsed WHERE p <> '' AND try_cast(r AS INTEGER) IS NOT NULL AND try_cast(b AS BIGINT) IS NOT NULL),
-kept AS (SELECT * FROM found WHERE rel_path IN (SELECT rel_path FROM inventory))
-"""
+    """Totals (rows only, as the pieces depend on the cluster): tiny files with text, pieces and blocks that were merged, merged files, and records."""
+    tiny = table(spark, d, "raw_shards").agg(F.count_if(F.length("payload") > 0).alias("tiny_files"))
+    made = _compacted(spark, d)[1].agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("files", "pieces"), ("blocks", "blocks"), ("rows", "rows"))], F.count("*").alias("merged_files"))
+    return tiny.join(F.broadcast(made))
+
 
+#: From the statement of the problem: a line counts if it gives path, run and bytes and is closed as its format demands.
+#: Lines are told apart by their separator and taken apart as lists and maps.
 SQL = {
-    "p5_found": f"WITH {_LINES} SELECT rel_path, run FROM kept",
-    "p5_files": f"WITH {_LINES} SELECT count(*) AS rows, 1 AS merged_files, true AS fewer FROM kept",
+    "p5_found": r"""
+WITH lines AS (SELECT rtrim(unnest(string_split_regex(ltrim(payload, chr(65279)), '\r\n|\n|\r'))) AS line FROM raw_shards),
+objects AS (SELECT line ->> 'rel_path' AS p, line ->> 'run' AS r, line ->> 'bytes' AS b FROM lines WHERE left(line, 1) = '{' AND json_valid(line)),
+pairs AS (SELECT map_from_entries(list_transform(string_split(line[:-2], ';'), lambda x: (x[:position('=' IN x) - 1], x[position('=' IN x) + 1:]))) AS m FROM lines WHERE right(line, 1) = ';' AND regexp_matches(line, '^\w+=')),
+fields AS (SELECT CASE WHEN contains(line, chr(9)) THEN string_split(line, chr(9)) ELSE list_concat([array_to_string(string_split(line, ',')[:-3], ',')], string_split(line, ',')[-2:]) END AS f
+  FROM lines WHERE left(line, 1) NOT IN ('{', '#') AND right(line, 1) <> ';' AND (contains(line, chr(9)) OR contains(line, ','))),
+every_line AS (SELECT p, r, b FROM objects UNION ALL SELECT m['rel_path'], m['run'], m['bytes'] FROM pairs
+  UNION ALL SELECT CASE WHEN left(f[1], 1) = '"' THEN CASE WHEN length(f[1]) > 1 AND right(f[1], 1) = '"' THEN replace(f[1][2:-2], '""', '"') END ELSE f[1] END, f[2], f[3] FROM fields WHERE len(f) = 3)
+SELECT DISTINCT regexp_replace(trim(replace(p, chr(92), '/')), '^(\./+)+', '') AS rel_path, r::INTEGER AS run
+FROM every_line WHERE p <> '' AND regexp_matches(r, '^\d+$') AND regexp_matches(b, '^\d+$')""",
 }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import normal, scalars
 from sieveworks.operators import bank, blockcopy, components, grouping, hamming, inventory, pools, ranks, records, scoring
-from sieveworks.plans import curation
+from sieveworks.plans import curation, small_files
 from sieveworks.sources import shards, thrift
 
 
@@ -280,9 +280,18 @@ def test_shard_lines(spark):
     payload = '﻿# scan of 3\r\nrel_path,run,bytes\n"./a/b.jpg",1,10\n\na\\b.jpg\t2\t20\rbytes=5;run=3;rel_path= a/b.jpg;\n{"rel_path": "a\\/b.jpg", "run": 4, "bytes": 7}\n{"run":5,"bytes":9,"ok":true,"rel_path":"a/b.jpg"}\n{"rel_path": "a/b.jpg", "run": 6, "by\nbytes=5;run=7;rel_path=a/b.jpg\n"a/""q"".jpg",8,1\n"a/b.jpg",9,\n{"rel_path": "a/b.jpg", "run": 10}\n"a/b.jpg",11,4'
     df = spark.createDataFrame([("s", payload), ("t", None), ("u", "")], "shard_path string, payload string").withColumn("bytes", F.lit(1))
     assert rows(shards.scan_lines(df)) == [('a/"q".jpg', 8, 1), *[("a/b.jpg", r, b) for r, b in ((1, 10), (2, 20), (3, 5), (4, 7), (5, 9), (11, 4))]]
-    inv = spark.createDataFrame([("a/b.jpg",), ("a/b.jpg",), (None,)], "rel_path string")
-    assert shards.scan_records(df.unionByName(df), inv).count() == 6
-    assert shards.scan_records(df.limit(0), inv).count() == 0
+    assert shards.scan_records(df.unionByName(df)).count() == 7
+    assert shards.scan_records(df.limit(0)).count() == 0
+
+
+def test_small_files_become_few(spark, tmp_path, monkeypatch):
+    lines = [f'"a/f{i}.jpg",{i % 3},{i}' for i in range(400)]
+    tiny = spark.createDataFrame([(f"s{i}", 0, "\n".join(lines[i : i + 4] + lines[i : i + 1])) for i in range(0, 400, 4)], "shard_path string, n_bytes long, payload string")
+    tiny.write.parquet(str(tmp_path / "raw_shards.parquet"))
+    monkeypatch.setattr(small_files, "PIECE_ROWS", 10)
+    made = small_files.p5_files(spark, str(tmp_path)).first()
+    assert (made["tiny_files"], made["rows"], made["merged_files"]) == (100, 400, 1) and made["pieces"] >= 40
+    assert small_files.p5_found(spark, str(tmp_path)).distinct().count() == 400
 
 
 def test_block_copy(spark, tmp_path):
