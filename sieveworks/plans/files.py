@@ -118,7 +118,7 @@ def _code(c: str) -> str:
     return f"CASE WHEN regexp_matches({h}, '^[0-9a-f]{{1,16}}$') AND NOT regexp_matches({h}, '^0+$') THEN ('0x' || {h})::UBIGINT END"
 
 
-#: Codes as signed 64-bit values, as repeated scans are told apart by their order.
+#: Codes as signed 64-bit values, as repeated scans are told apart by their order. Only scans with both codes count.
 def _signed(c: str) -> str:
     return f"CASE WHEN ({c})::HUGEINT >= 9223372036854775808 THEN (({c})::HUGEINT - 18446744073709551616)::BIGINT ELSE ({c})::BIGINT END"
 
@@ -127,7 +127,7 @@ _HASHED = f"""
 scans AS (SELECT rel_path, dataset, class_label, {_SHA} AS sha, {_code("phash")} AS p, {_code("dhash")} AS q FROM inventory),
 signed AS (SELECT rel_path, dataset, class_label, sha, p, q, {_signed("p")} AS sp, {_signed("q")} AS sq FROM scans),
 hashed AS (SELECT rel_path, min(dataset) AS dataset, min(class_label) AS class_label, min(sha) AS sha,
-  (array_agg(p ORDER BY sp NULLS FIRST, sq NULLS FIRST))[1] AS ph, (array_agg(q ORDER BY sp NULLS FIRST, sq NULLS FIRST))[1] AS dh FROM signed GROUP BY rel_path),
+  (array_agg(p ORDER BY sp, sq) FILTER (sp IS NOT NULL AND sq IS NOT NULL))[1] AS ph, (array_agg(q ORDER BY sp, sq) FILTER (sp IS NOT NULL AND sq IS NOT NULL))[1] AS dh FROM signed GROUP BY rel_path),
 files AS (SELECT * FROM hashed WHERE ph IS NOT NULL AND dh IS NOT NULL)"""
 _NEAR1 = """
 classes AS (SELECT ph, min(rel_path) AS rep, count(*) AS n FROM files GROUP BY ph),
