@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sieveworks.functions.normal import code64, hex_digest
@@ -80,11 +79,20 @@ def size_distribution(groups: DataFrame) -> DataFrame:
 
 
 def largest(groups: DataFrame, k: int = 10, examples: int = 4) -> DataFrame:
-    """The k largest groups of two or more, their classes with counts and first paths (both as text)."""
+    """The k largest groups of two or more, their classes with counts and first paths (both as text).
+
+    The first paths are found one by one, each as a minimum beyond the one
+    before it, so that no task holds a group; k rows at most are broadcast.
+    """
     top = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "group").limit(k)
     rows = groups.join(F.broadcast(top), "group")
     classes = rows.groupBy("group", "n", F.coalesce("class_label", F.lit("(none)")).alias("c")).agg(F.count("*").alias("m")).groupBy("group", "n").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "c", "m"))), ",").alias("classes"))
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("group").orderBy("rel_path"))).where(F.col("r") <= examples).groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("rel_path")), ",").alias("paths"))
+    first, rest = None, rows.select("group", "rel_path")
+    for _ in range(examples):
+        least = rest.groupBy("group").agg(F.min("rel_path").alias("p"))
+        first = least if first is None else first.unionByName(least)
+        rest = rest.join(F.broadcast(least.withColumnRenamed("p", "_p")), "group").where(F.col("rel_path") > F.col("_p")).drop("_p")
+    first = first.groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("paths"))
     return classes.join(first, "group")
 
 
