@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is made and set.
+    unset a temporary folder is made and set, and only for a master on this
+    machine: executors elsewhere would not share it, so that others must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveworks-"))
     return sc.getCheckpointDir()
 
