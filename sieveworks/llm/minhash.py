@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: Words per shingle, and the similarity from which two texts are near copies.
 WORDS = 5
@@ -20,57 +14,76 @@ ROWS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str, words: int = WORDS, known: dict[str, int] | None = None) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of ``words`` lower-cased words; a shorter text is one shingle."""
-    known = {} if known is None else known
-    toks = text.lower().split()
-    if not toks:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((known.get(t) or known.setdefault(t, xxhash.xxh64_intdigest(t) or 1) for t in toks), np.uint64, len(toks))
-    n = max(1, len(toks) - words + 1)
+class Hashes(dict):
+    """64-bit hashes of words, each computed once; emptied when it has grown to a bound."""
+
+    def __init__(self, bound: int = 500_000) -> None:
+        super().__init__()
+        self.bound = bound
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of every run of ``words`` neighbours."""
+    n = max(0, len(h) - words + 1)
     out = np.zeros(n, np.uint64)
-    for j in range(min(words, len(toks))):
+    for j in range(words):
         out = (out ^ h[j : j + n]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, words: int = WORDS, known: Hashes | None = None) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``words`` lower-cased words; a shorter text is one shingle."""
+    toks = text.lower().split()
+    h = (Hashes() if known is None else known).of(toks)
+    return np.unique(_runs(h, min(words, max(1, len(toks)))))
 
 
-@lru_cache(maxsize=8)
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240611)
-    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
-
-
-def band_keys(text: str | None, known: dict[str, int], bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One 64-bit key per band; none for a text without words."""
-    s = shingles(text or "", known=known)
-    if not len(s):
-        return []
-    a, b = _coefficients(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 4096):
-        part = s[i : i + 4096, None] * a[None, :] + b[None, :]
-        part ^= part >> np.uint64(32)
-        least = np.minimum(least, (part * _MIX).min(axis=0))
-    keys = np.zeros(bands, np.uint64)
-    for r in range(rows):
-        keys = (keys ^ least.reshape(bands, rows)[:, r]) * _MIX
-        keys ^= keys >> np.uint64(31)
-    return (keys ^ (np.arange(bands, dtype=np.uint64) * _MIX)).view(np.int64).tolist()
-
-
-def bands(text: Column) -> Column:
-    """Array of band keys of a text (the band's number is mixed into its key)."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
-        for s in batches:
-            if len(known) > 500_000:
-                known.clear()
-            yield pd.Series([band_keys(t, known) for t in s], dtype=object)
-
-    return run(text)
+    return r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+_A, _B = _coefficients(BANDS * ROWS)
+
+
+def band_keys(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the texts of a shingle or more, and their band keys, one row of BANDS each.
+
+    A text of fewer words than a shingle has no near copy but itself and gets no
+    key. All texts of the batch go through one array; a minimum does not mind
+    repeated shingles. The number of a band is mixed into its keys.
+    """
+    split = [t.lower().split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    at = np.flatnonzero(sizes >= WORDS)
+    if not len(at):
+        return at, np.empty((0, BANDS), np.int64)
+    h = known.of([w for i in at for w in split[i]])
+    runs, n = _runs(h, WORDS), sizes[at]
+    ends = np.cumsum(n)
+    inside = np.ones(len(h), bool)
+    for j in range(1, WORDS):
+        inside[ends - j] = False
+    x = (runs[inside[: len(runs)]] >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum(n - WORDS + 1)[:-1]])
+    keys = np.empty((len(at), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(at), band, np.uint64) * _MIX
+        for r in range(band * ROWS, (band + 1) * ROWS):
+            key = (key ^ np.minimum.reduceat(x * _A[r] + _B[r], starts)) * _MIX
+            key ^= key >> np.uint64(31)
+        keys[:, band] = key
+    return at, keys.view(np.int64)
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
