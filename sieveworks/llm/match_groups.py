@@ -2,9 +2,17 @@
 
 Union-find runs inside edge partitions and leaves only a spanning forest of
 stars (member, least member; a root is its own member). A vertex that got
-roots in several partitions links those roots: these links are the edges of the next, smaller graph, which
-is treated alike in fewer partitions, until no link is left. The labels of the
-levels are then joined back, from the last level to the first.
+roots in several partitions links those roots: these links are the edges of the
+next, smaller graph, which is treated alike in fewer partitions, until one is
+left. The labels of the levels are then joined back, from the last level to the
+first.
+
+Edges are dealt to the partitions by neighbourhood: a vertex is named after the
+neighbour (or itself) with the least random key, and edges whose first ends
+have one name meet. A forest then holds whole neighbourhoods, so that a level
+halves the vertices whatever the shape of the graph (a chain of n keeps about
+n / 2 roots) and the levels grow as the logarithm of the edges. Names that gather
+more edges than a task holds are dealt on by the other end.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import functions as F
 from sieveworks.session import cut
 
 #: Edges that one task holds at most, up to the spread of a hash partitioning.
-EDGES_PER_TASK = 500_000
+EDGES_PER_TASK = 1 << 15
 
 
 def forest(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
@@ -51,25 +59,41 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from pa.table({"member": member, "root": root}).to_batches(max_chunksize=100_000)
 
 
-def linked_groups(pairs: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+def dealt(edges: DataFrame, n: int, edges_per_task: int, level: int) -> DataFrame:
+    """The n edges in partitions of about ``edges_per_task``, those of one neighbourhood together."""
+    key = lambda c: F.xxhash64(F.lit(level), F.col(c))
+    ends = edges.select("a", key("b").alias("k")).unionByName(edges.select(F.col("b").alias("a"), key("a").alias("k")))
+    names = ends.groupBy("a").agg(F.min("k").alias("k")).select("a", F.least("k", key("a")).alias("name"))
+    named = cut(edges.join(names, "a").select("a", "b", "name"))
+    crowded = named.groupBy("name").agg(F.ceil(F.count("*") / edges_per_task).alias("tasks")).where("tasks > 1")
+    rows = named.join(F.broadcast(crowded), "name", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("tasks", F.lit(1))))
+    return rows.repartition(-(-n // edges_per_task), "name", "part").select("a", "b")
+
+
+def linked_groups(pairs: DataFrame, edges_per_task: int = EDGES_PER_TASK, progress: list[int] | None = None) -> DataFrame:
     """group_id, record: one row for each record with a link; group_id is the least record of its group.
 
     pairs: columns a and b of one ordered type. Pairs with a null end and pairs
     of a record with itself link nothing; repeated and turned-round pairs count
-    once. An empty table gives no row.
+    once. An empty table gives no row. ``progress`` takes the number of edges of
+    every level. Names with more edges than a task holds (n / edges_per_task at
+    most) are broadcast.
     """
     kind = dict(pairs.dtypes)["a"]
     link = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges, levels = cut(link), []
+    edges, levels, progress = cut(link.distinct()), [], [] if progress is None else progress
     while n := edges.count():
-        parts = max(1, -(-n // edges_per_task))
-        spread = edges.repartition(parts, F.xxhash64(F.lit(len(levels)), "a", "b")) if parts > 1 else edges.coalesce(1)
+        progress.append(n)
+        alone = n <= edges_per_task
+        spread = edges.coalesce(1) if alone else dealt(edges, n, edges_per_task, len(levels))
         stars = cut(spread.mapInArrow(_local_forest, f"member {kind}, root {kind}"))
-        best = stars.groupBy("member").agg(F.min("root").alias("root"))
-        levels.append(cut(best))
-        if parts == 1:
+        if alone:
+            levels.append(stars)
             break
-        edges = cut(stars.join(levels[-1].withColumnRenamed("root", "least"), "member").where(F.col("root") != F.col("least")).select(F.col("least").alias("a"), F.col("root").alias("b")).distinct())
+        best = cut(stars.groupBy("member").agg(F.min("root").alias("root"), F.max("root").alias("last")))
+        levels.append(best.select("member", "root"))
+        parted = best.where("root <> last").select("member", F.col("root").alias("a"))
+        edges = cut(stars.join(parted, "member").where("a <> root").select("a", F.col("root").alias("b")).distinct())
     if not levels:
         return link.select(F.col("a").alias("group_id"), F.col("a").alias("record")).limit(0)
     labels = levels.pop()
