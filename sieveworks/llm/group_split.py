@@ -4,21 +4,26 @@ Records and entities (groups, authors, sources) form a bipartite graph whose
 components must not be divided. Components come from minimum-label propagation;
 they are then assigned so that sizes follow the proportions and every split has
 about the same distribution of a label.
+
+Components with the same rows per label are a class. A class is dealt to the
+splits in the very proportions; what the rounding leaves of it (fewer members
+than splits) goes one by one to the split that keeps the deviation least, from
+classes of large components to small ones. Every component takes part as it is,
+whatever its size and the size of the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions.normal import group_number, word
+from sieveworks.operators.ranks import hash_rank
 from sieveworks.session import cut
 
-#: Components of more than 1/LARGE of all rows are assigned one by one, so that there are LARGE of them at most.
-LARGE = 2000
-#: Smaller components share this many hash buckets per label, which are assigned as wholes.
-BUCKETS = 64
-
 
 def record_groups(records: DataFrame, bank: DataFrame) -> DataFrame:
     """item_id, question_id, split and group of every row of records (not only the latest).
@@ -64,77 +69,110 @@ def entity_components(links: DataFrame) -> DataFrame:
     return every.join(labels, "entity", "left").select("entity", F.coalesce("component", "entity").alias("component"))
 
 
-def assign(rows: DataFrame, proportions: DataFrame) -> DataFrame:
-    """component, split: rows of one component get one split.
-
-    rows: component (not null), label (null is a label of its own). proportions:
-    split, proportion, ord; a few rows that don't grow with the data. Large
-    components are units of their own; the others are dealt by hash into
-    BUCKETS units per main label. The units, at most LARGE + BUCKETS * labels
-    whatever the size of the data (labels are a closed vocabulary), go from
-    large to small to the split that keeps the squared deviation from the
-    wanted sizes per label least. An empty table gives no row.
-    """
-    spark = rows.sparkSession
-    shares = [(r["split"], float(r["proportion"])) for r in proportions.where("split is not null and proportion is not null").groupBy("split").agg(F.max("proportion").alias("proportion"), F.min("ord").alias("ord")).orderBy("ord", "split").collect()]
-    counts = rows.groupBy("component", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
-    per = cut(counts.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels")))
-    total = per.agg(F.sum("size")).first()[0] or 0
-    is_large = F.col("size") * LARGE > total
-    unit = F.when(is_large, F.concat(F.lit("c|"), F.col("component").cast("string"))).otherwise(F.concat_ws("|", F.lit("b"), F.col("main"), F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("string")))
-    named = per.withColumn("unit", unit)
-    loads = named.select("unit", F.explode("labels").alias("label", "n")).groupBy("unit", "label").agg(F.sum("n").alias("n")).collect()
-    by: dict[str, dict[str, int]] = {}
-    for r in loads:
-        by.setdefault(r["unit"], {})[r["label"]] = r["n"]
-    placed = spread(by, shares)
-    table = spark.createDataFrame(placed or [("", "")], "unit string, split string")
-    return named.join(F.broadcast(table), "unit").select("component", "split")
-
-
-def spread(units: dict[str, dict[str, int]], shares: list[tuple[str, float]]) -> list[tuple[str, str]]:
-    """(unit, split), greedy from large to small by the least growth of squared deviation, of sizes and per label."""
-    totals: dict[str, int] = {}
-    for load in units.values():
-        for label, n in load.items():
-            totals[label] = totals.get(label, 0) + n
-    whole = sum(totals.values())
-    norm = sum(p for _, p in shares) or 1.0
-    want = {s: {label: n * p / norm for label, n in totals.items()} for s, p in shares}
-    goal = {s: whole * p / norm for s, p in shares}
-    out = []
-    for unit in sorted(units, key=lambda u: (-sum(units[u].values()), u)):
-        load = units[unit]
-        size = sum(load.values())
+class Balance:
+    """Rows that each split still wants, in all and per label, and the split that a component does best in."""
+
+    def __init__(self, totals: dict[str, int], shares: list[tuple[str, float]]) -> None:
+        norm = sum(p for _, p in shares if p > 0) or 1.0
+        self.shares = [(s, p / norm) for s, p in shares if p > 0]
+        self.totals, self.whole = totals, max(1, sum(totals.values()))
+        self.want = {s: {label: n * p for label, n in totals.items()} for s, p in self.shares}
+        self.goal = {s: sum(totals.values()) * p for s, p in self.shares}
 
-        def cost(s: str, load: dict[str, int] = load, size: int = size) -> float:
-            # adding n to a gap g changes the squared deviation by n * n - 2 * n * g
-            return sum((n * n - 2 * n * want[s][label]) / max(1, totals[label]) for label, n in load.items()) + (size * size - 2 * size * goal[s]) / max(1, whole)
+    def cost(self, split: str, load: dict[str, int]) -> float:
+        """Growth of the squared deviation, of sizes and per label: adding n to a gap g changes it by n * n - 2 * n * g."""
+        size = sum(load.values())
+        labels = sum(n * (n - 2 * self.want[split][label]) / self.totals[label] for label, n in load.items())
+        return labels + size * (size - 2 * self.goal[split]) / self.whole
 
-        best = min((s for s, p in shares if p > 0), key=cost, default=None)
-        if best is None:
-            continue
+    def take(self, split: str, load: dict[str, int], times: int) -> None:
         for label, n in load.items():
-            want[best][label] -= n
-        goal[best] -= size
-        out.append((unit, best))
-    return out
+            self.want[split][label] -= n * times
+            self.goal[split] -= n * times
 
+    def deal(self, load: dict[str, int], members: int) -> dict[str, int]:
+        """How many of the members of a class go to each split."""
+        out = {s: int(members * p) for s, p in self.shares}
+        for s, k in out.items():
+            self.take(s, load, k)
+        for _ in range(members - sum(out.values())):
+            best = min(out, key=lambda s: self.cost(s, load))
+            self.take(best, load, 1)
+            out[best] += 1
+        return out
 
-def split_records(records: DataFrame, bank: DataFrame, proportions: DataFrame) -> DataFrame:
-    """One row per group of records: group_id, component, n (rows), lo and hi (least and greatest present split, null if none) and the assigned split; rows without a group are a component each, by question and item.
+
+def assign(rows: DataFrame, proportions: DataFrame) -> DataFrame:
+    """component, split: rows (component, label) of one component get one split; see ``assign_counts``."""
+    return assign_counts(rows.groupBy("component", "label").agg(F.count("*").alias("n")), proportions)
+
+
+def assign_counts(counts: DataFrame, proportions: DataFrame) -> DataFrame:
+    """component, split: all rows of one component get one split.
+
+    counts: component (not null), label (null is a label of its own; labels are
+    a closed vocabulary), n (rows). proportions: split, proportion, ord; a few rows that
+    don't grow with the data. Class rows (a load and its count) stream through
+    one task in order of size, which holds what the splits still want and
+    nothing else; members find their split by their rank in the class, in
+    order of a digest. Without proportions above 0, or rows, there is no row.
+    """
+    shares = [(r["split"], float(r["proportion"])) for r in proportions.where("split is not null and proportion > 0").groupBy("split").agg(F.max("proportion").alias("proportion"), F.min("ord").alias("ord")).orderBy("ord", "split").collect()]
+    counts = counts.select("component", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label"), "n")
+    loads = counts.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("load"))
+    per = cut(loads.select("component", "load", F.md5(F.to_json("load")).alias("kind"), F.md5(F.col("component").cast("string")).alias("digest")))
+    classes = per.groupBy("kind").agg(F.first("load").alias("load"), F.count("*").alias("members"))
+    classes = cut(classes.withColumn("size", F.aggregate("load", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])))
+    totals = {r["label"]: r["n"] for r in classes.select("members", F.explode("load").alias("x")).groupBy("x.label").agg(F.sum(F.col("x.n") * F.col("members")).alias("n")).collect()}
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = Balance(totals, shares)
+        for pdf in batches:
+            upto = []
+            for load, members in zip(pdf["load"], pdf["members"], strict=True):
+                last, ends = 0, []
+                for split, k in state.deal({x["label"]: int(x["n"]) for x in load}, int(members)).items():
+                    last += k
+                    ends.append({"split": split, "last": last})
+                upto.append(ends)
+            yield pd.DataFrame({"kind": pdf["kind"], "upto": pd.Series(upto, dtype=object, index=pdf.index)})
+
+    dealt = cut(classes.select("kind", "load", "members", "size").orderBy(F.desc("size"), "kind").coalesce(1).mapInPandas(deal, "kind string, upto array<struct<split: string, last: bigint>>"))
+    ranked = hash_rank(per.select("component", "kind", "digest"), ["kind"], "digest", "component", name="rank")
+    return ranked.join(dealt, "kind").select("component", F.filter("upto", lambda x: x["last"] >= F.col("rank"))[0]["split"].alias("split")).where("split is not null")
+
+
+def placed_rows(records: DataFrame, bank: DataFrame) -> DataFrame:
+    """group_id, label (pool of the question), present (split) and component of every row of records.
 
     The entities that keep records together are their groups; a record whose
-    row lacks the group takes that of its question.
+    row lacks the group takes that of its question. Rows without a group are a
+    component each, by question and item.
     """
     pools = bank.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.min(word("pool")).alias("label"))
     rows = cut(record_groups(records, bank).join(pools, "question_id", "left").select(F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat_ws("|", F.lit("r"), "item_id", "question_id")).alias("entity"), F.col("item_id").alias("record"), "group_id", "label", F.col("split").alias("present")))
-    comps = entity_components(rows.select("record", "entity"))
-    placed = cut(rows.join(comps, "entity"))
+    return cut(rows.join(entity_components(rows.select("record", "entity")), "entity").select("group_id", "label", "present", "component"))
+
+
+def split_records(records: DataFrame, bank: DataFrame, proportions: DataFrame) -> DataFrame:
+    """One row per group of records: group_id, component, n (rows), lo and hi (least and greatest present split, null if none) and the assigned split; rows without a group are a component each."""
+    placed = placed_rows(records, bank)
     groups = placed.groupBy("group_id", "component").agg(F.count("*").alias("n"), F.min("present").alias("lo"), F.max("present").alias("hi"))
     return groups.join(assign(placed.select("component", "label"), proportions), "component").select("group_id", "component", "n", "lo", "hi", "split")
 
 
+def balance(records: DataFrame, bank: DataFrame, proportions: DataFrame) -> DataFrame:
+    """split, label, rows, share (of the label's rows), wanted and deviation; label is null for rows without one and ``(all)`` for the sizes of the splits."""
+    placed = cut(placed_rows(records, bank).groupBy("component", "label").agg(F.count("*").alias("n")))
+    got = placed.join(assign_counts(placed, proportions), "component")
+    per = got.groupBy("split", "label").agg(F.sum("n").alias("rows")).unionByName(got.groupBy("split").agg(F.sum("n").alias("rows")).withColumn("label", F.lit("(all)")))
+    totals = per.groupBy("label").agg(F.sum("rows").alias("_total")).withColumnRenamed("label", "_label")
+    wanted = proportions.where("split is not null and proportion > 0").groupBy("split").agg(F.max("proportion").alias("wanted"))
+    out = per.join(F.broadcast(totals), F.col("label").eqNullSafe(F.col("_label"))).join(F.broadcast(wanted), "split")
+    share = F.col("rows") / F.col("_total")
+    return out.select("split", "label", "rows", share.alias("share"), "wanted", (share - F.col("wanted")).alias("deviation"))
+
+
 def divided(placed: DataFrame) -> DataFrame:
     """group_id of the placed groups (of ``split_records``) whose rows carry more than one present split; missing splits and groups are ignored."""
     return placed.where(F.col("group_id").isNotNull() & (F.col("lo") != F.col("hi"))).select("group_id")
