@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.normal import latest_rows, word
 from sieveworks.llm.selection import smallest_keys
+from sieveworks.session import cut
 
 CATEGORY = ["split", "pool", "question_type"]
 
@@ -67,10 +68,11 @@ def sample(records: DataFrame, bank: DataFrame, targets: DataFrame, seed: int =
     """item_id and category of the drawn items; categories with the smallest random keys first.
 
     The quota table has one row per target row (a closed list that does not
-    grow with the data), so that joining it needs no shuffle of the items.
+    grow with the data) and is broadcast, so that joining it needs no shuffle of
+    the items. Items are written once and read for counts and for the draw.
     """
-    items = usable_items(records, bank)
+    items = cut(usable_items(records, bank))
     q = quotas(items, targets).select(*CATEGORY, *[f"as_{c}" for c in CATEGORY], "quota")
-    rows = items.join(q, CATEGORY).withColumn("_cat", F.concat_ws("|", *CATEGORY))
+    rows = items.join(F.broadcast(q), CATEGORY).withColumn("_cat", F.concat_ws("|", *CATEGORY))
     drawn = smallest_keys(rows, "_cat", "item_id", "quota", seed)
     return drawn.select("item_id", *[F.col(f"as_{c}").alias(c) for c in CATEGORY])

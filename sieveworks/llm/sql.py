@@ -26,6 +26,20 @@ LEFT JOIN sizes s ON s.split = {_word("t.split")}
 LEFT JOIN counts k ON k.split = {_word("t.split")} AND k.pool = {_word("t.pool")} AND k.qt = {_word("t.question_type")}
 WHERE coalesce(k.c, 0) < greatest(t.min_items, coalesce(s.n, 0) * t.sample_permille * t.share_permille // 1000000)"""
 
+P1_SAMPLE = f"""
+WITH latest AS ({_LATEST}),
+bank AS (SELECT question_id, min({_word("pool")}) AS pool, min({_word("question_type")}) AS qt FROM question_bank GROUP BY 1),
+items AS (SELECT l.item_id, {_word("l.split")} AS s, b.pool AS p, b.qt AS q FROM latest l JOIN bank b USING (question_id) WHERE b.pool IS NOT NULL AND b.qt IS NOT NULL AND {_word("l.split")} IS NOT NULL),
+sizes AS (SELECT s, count(*) AS n FROM items GROUP BY 1),
+counts AS (SELECT s, p, q, count(*) AS c FROM items GROUP BY 1, 2, 3),
+targets AS (SELECT {_word("split")} AS s, {_word("pool")} AS p, {_word("question_type")} AS q, split, pool, question_type, sample_permille, share_permille, min_items FROM sample_targets),
+want AS (SELECT t.*, coalesce(c, 0) AS c, coalesce(n, 0) AS n, coalesce(n, 0) * sample_permille * share_permille AS exact FROM targets t LEFT JOIN sizes USING (s) LEFT JOIN counts USING (s, p, q)),
+based AS (SELECT *, least(c, greatest(min_items, exact // 1000000)) AS base, CASE WHEN min_items > exact // 1000000 THEN 0 ELSE exact % 1000000 END AS rest FROM want),
+spare AS (SELECT *, c > base AND rest > 0 AS open, greatest(0, n * max(sample_permille) OVER x // 1000 - sum(base) OVER x) AS left_over, row_number() OVER (PARTITION BY s ORDER BY c > base DESC, rest DESC, p, q) AS r FROM based WINDOW x AS (PARTITION BY s)),
+quota AS (SELECT *, base + CASE WHEN open AND r <= left_over THEN 1 ELSE 0 END AS quota FROM spare),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY s, p, q ORDER BY sha256('0|' || item_id), item_id) AS k FROM items)
+SELECT d.item_id, t.split, t.pool, t.question_type FROM drawn d JOIN quota t USING (s, p, q) WHERE d.k <= t.quota"""
+
 P3_FOUND = rf"""
 WITH bank AS (SELECT question_id, min(group_id) AS g FROM question_bank GROUP BY 1),
 rows AS (SELECT {_word("r.split")} AS split, coalesce(try_cast(nullif(regexp_extract(r.group_id, '(\d+)(?:\.0*)?\s*$', 1), '') AS BIGINT), b.g) AS group_id
@@ -70,4 +84,4 @@ FROM info LEFT JOIN ends USING (p) GROUP BY 1, 2"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_cutoffs": P6_CUTOFFS, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
+    return {"p1_found": P1_FOUND, "p1_sample": P1_SAMPLE, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_cutoffs": P6_CUTOFFS, "p7_found": P7_FOUND, "p7_report": P7_REPORT}
