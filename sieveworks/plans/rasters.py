@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sieveworks.raster import filters, frames, masks
-from sieveworks.session import table
+from sieveworks.session import cut, table
 
 SIDE = 8
 
@@ -67,8 +67,17 @@ def raster_degraded(spark, d):
     return out.select("id", "operator", "level", F.sha2("pixels", 256).alias("digest"))
 
 
+def rating_form(spark, d):
+    """H10 (rows only, as the panels are numpy's): the blinded form of all panels of the sweep that no operator refused."""
+    sweep = frames.sweep_table(spark)
+    done = cut(frames.degraded(_images(spark, d), sweep).select("id", "operator", "level", F.col("pixels").isNotNull().alias("ok")))
+    names = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("frames/v"), F.col("vec_id").cast("string"), F.lit(".png")).alias("image"))
+    rows = done.where("ok").withColumn("pixels", F.lit(1))
+    return frames.rating_form(frames.panel_key(rows, names, sweep))
+
+
 def raster_mask_facts(spark, d):
-    """J4, L14 (rows only)."""
+    """Components, area, centroid and region of the largest component of the sign masks."""
     return frames.mask_facts(_images(spark, d))
 
 
@@ -98,9 +107,20 @@ SELECT id, area, concat_ws(',', x0, y0, x1, y1) AS bbox, CASE WHEN cx IS NOT NUL
     "mask_dilate": f"WITH {_PX} SELECT p.id, count(*) FILTER (EXISTS (SELECT 1 FROM px q WHERE q.id = p.id AND q.v > 0 AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 <= 4)) AS pixels FROM px p GROUP BY p.id",
     "low_illumination": f"WITH {_PX}, b AS (SELECT id, floor(least(greatest(pow(pow(least(abs(v), 1.0), 2.2::DOUBLE) * 0.25::DOUBLE, 1.0::DOUBLE / 2.2::DOUBLE), 0.0), 1.0) * 255 + 0.5)::INTEGER AS b FROM px) SELECT id, sum(b)::BIGINT AS total, max(b) AS brightest FROM b GROUP BY id",
     "fov_crop_keep": f"WITH {_PX}, g AS (SELECT id, count(*) FILTER (v > 0) AS n, count(*) FILTER (v > 0 AND y BETWEEN 1 AND 5 AND x BETWEEN 1 AND 5) AS k FROM px GROUP BY id) SELECT id, CASE WHEN n > 0 AND k >= 0.8 * n THEN round(k / n, 6) END AS kept FROM g",
+    "raster_mask_facts": f"""WITH RECURSIVE {_PX},
+ins AS (SELECT id, y, x, y * 8 + x AS cell FROM px WHERE v > 0),
+near AS (SELECT a.id, a.cell, b.cell AS other FROM ins a JOIN ins b ON a.id = b.id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+reach AS (SELECT id, cell, cell AS seen FROM ins UNION SELECT r.id, r.cell, n.other FROM reach r JOIN near n ON n.id = r.id AND n.cell = r.seen),
+lab AS (SELECT id, cell, min(seen) AS c FROM reach GROUP BY id, cell),
+comp AS (SELECT id, c, count(*) AS n, avg(cell // 8) / 8 AS cy, avg(cell % 8) / 8 AS cx FROM lab GROUP BY id, c),
+top AS (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM comp QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, c) = 1),
+g AS (SELECT id, count(*) FILTER (v > 0) / 64 AS area, coalesce(avg(y) FILTER (v > 0) / 8, 0.5) AS cy, coalesce(avg(x) FILTER (v > 0) / 8, 0.5) AS cx FROM px GROUP BY id)
+SELECT g.id, g.area::DOUBLE AS area, g.cy::DOUBLE AS cy, g.cx::DOUBLE AS cx, coalesce(t.k, 0)::INTEGER AS components,
+  CASE WHEN t.id IS NOT NULL THEN CASE WHEN abs(t.cy - 0.5) <= 0.1667 AND abs(t.cx - 0.5) <= 0.1667 THEN 'centre' ELSE CASE WHEN t.cy < 0.5 THEN 'upper' ELSE 'lower' END || CASE WHEN t.cx < 0.5 THEN ' left' ELSE ' right' END END END AS region
+FROM g LEFT JOIN top t USING (id)""",
     "corruption_sweep": f"SELECT dataset, operator, level, params, count(*) AS panels FROM (SELECT DISTINCT dataset, rel_path FROM inventory WHERE readable AND dataset NOT LIKE '%-masks'), (VALUES {_SWEEP}) AS t(operator, level, params) GROUP BY ALL",
 }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mask_stats, mask_dilate, low_illumination, fov_crop_keep, corruption_sweep, raster_degraded, raster_mask_facts, raster_controls)}
+    return {f.__name__: f for f in (mask_stats, mask_dilate, low_illumination, fov_crop_keep, corruption_sweep, raster_degraded, rating_form, raster_mask_facts, raster_controls)}

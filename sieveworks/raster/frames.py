@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sieveworks.functions.scalars import hash_order, stem
+from sieveworks.operators.ranks import hash_rank
 from sieveworks.raster import filters, masks
 
 KIND = "id bigint, operator string, level int, height int, width int, pixels binary"
@@ -45,6 +48,23 @@ def degraded(images: DataFrame, sweep: DataFrame) -> DataFrame:
     return images.crossJoin(F.broadcast(sweep)).mapInPandas(run, KIND)
 
 
+def panel_key(degraded_rows: DataFrame, names: DataFrame, sweep: DataFrame) -> DataFrame:
+    """panel_id, image, operator, level, params of every panel that was not refused.
+
+    names: id, image. Panels of one image (as many as the sweep has rows at
+    most) are numbered from 0 by operator and level, behind the image's stem.
+    """
+    done = degraded_rows.where("pixels is not null").select("id", "operator", "level").join(F.broadcast(sweep), ["operator", "level"]).join(names, "id")
+    number = F.row_number().over(W.partitionBy("id").orderBy("operator", "level")) - 1
+    return done.select(F.concat(stem(F.col("image")), F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("panel_id"), "image", "operator", "level", "params")
+
+
+def rating_form(key: DataFrame, seed: int = 0) -> DataFrame:
+    """The panels in blinded order (position from 1, by a digest), with empty fields for the rater, and without what was done to them."""
+    ordered = hash_rank(key.select("panel_id", "image", F.lit(0).alias("_all"), hash_order(seed, F.col("panel_id"), F.col("image")).alias("_h")), ["_all"], "_h", "panel_id", "position")
+    return ordered.select("position", "panel_id", "image", *[F.lit("").alias(c) for c in ("identifiable", "rater", "notes")])
+
+
 def from_spark_images(df: DataFrame) -> DataFrame:
     """path, height, width, pixels (RGB) from the frames of Spark's image source, which holds BGR; others than 3 channels give null."""
 
