@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.session import cut
+
 
 def band_masks(threshold: int, agree: int = 1) -> list[int]:
     """Bit masks one of which two codes within the threshold must share.
@@ -22,18 +24,31 @@ def band_masks(threshold: int, agree: int = 1) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def bands_to_agree(codes: int, threshold: int) -> int:
+    """How many bands a key joins so that an evenly spread set of codes leaves few of them to a key: keys grow with the logarithm of the set.
+
+    At a distance of 4: two of six bands (15 keys of 21 bits) up to 2**23 codes,
+    then three of seven (35 keys of 27 bits) and four of eight (70 of 32 bits).
+    Wide thresholds have short bands and stay with single ones.
+    """
+    agree = 2 if threshold <= 8 else 1
+    while threshold <= 8 and agree < 4 and codes > 1 << (64 * agree // (threshold + agree) + 2):
+        agree += 1
+    return agree
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def code_pairs(left: DataFrame, right: DataFrame, threshold: int, same_side: bool = False) -> DataFrame:
+def code_pairs(left: DataFrame, right: DataFrame, threshold: int, same_side: bool = False, agree: int | None = None) -> DataFrame:
     """Pairs (a, b, dist) of the distinct codes of two one-column frames ``code`` within the threshold.
 
     Exact for every threshold below 64. Each pair comes once: a key emits it
     only if no earlier mask agrees too. With same_side, both frames are the
     same set and a < b holds.
     """
-    masks = band_masks(threshold, 2 if threshold <= 8 else 1)
+    masks = band_masks(threshold, agree or bands_to_agree(0, threshold))
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("code").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
     pick = lambda df, name: df.select(F.col("code").alias(name), keys.alias("_k")).select(name, F.col("_k.m").alias("m"), F.col("_k.k").alias("k"))
     joined = pick(left, "a").join(pick(right, "b"), ["m", "k"])
@@ -59,16 +74,18 @@ def near_classes(classes: DataFrame, threshold: int, code: str = "ph", second: s
     copies are not expanded. With a second code, classes whose first codes are
     near are joined on the bands of the second, so that many classes of one
     first code are not paired with each other; dist is the greater distance.
+    The number of distinct codes decides on the length of the keys.
     """
-    codes = classes.select(F.col(code).alias("code")).distinct()
-    near = code_pairs(codes, codes, threshold, same_side=True)
+    codes = cut(classes.select(F.col(code).alias("code")).distinct())
+    agree = bands_to_agree(codes.count(), threshold)
+    near = code_pairs(codes, codes, threshold, same_side=True, agree=agree)
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
     if second is None:
         side = lambda c, n: classes.select(F.col(code).alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(n))
         out = near.join(side("a", "n_a"), "a").join(side("b", "n_b"), "b")
         return out.where(F.col("rep_a") < F.col("rep_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b", "dist")
     near = near.unionByName(codes.select(F.col("code").alias("a"), F.col("code").alias("b"), F.lit(0).alias("dist")))
-    masks = band_masks(threshold, 2 if threshold <= 8 else 1)
+    masks = band_masks(threshold, agree)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(second).bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
     wide = classes.select(F.col(code).alias("c1"), F.col(second).alias("c2"), "rep", "n", keys.alias("_k")).select("c1", "c2", "rep", "n", F.col("_k.m").alias("m"), F.col("_k.k").alias("k"))
     left = near.join(wide.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), "m", "k"), "a")
