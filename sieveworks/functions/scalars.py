@@ -119,10 +119,10 @@ def probabilities(m: Column, digits: int = 4) -> Column:
 
 
 def build_prompt(question: Column, options: Column, instruction: Column | None = None) -> Column:
-    """Instruction, question, lettered options and the answer cue, one per line; at most 8 options."""
+    """Instruction, question, lettered options and the answer cue, one per line and apart from each other; at most 8 options."""
     lettered = F.transform(options, lambda o, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(") "), o))
     head = F.lit(INSTRUCTION) if instruction is None else instruction
-    return F.array_join(F.concat(F.array(head, question), lettered, F.array(F.lit("Answer:"))), "\n")
+    return F.array_join(F.concat(F.array(head, F.lit(""), F.concat(F.lit("Question: "), question), F.lit("")), lettered, F.array(F.lit(""), F.lit("Answer:"))), "\n")
 
 
 def ranked(scores: Column) -> Column:

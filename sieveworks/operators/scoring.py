@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.functions.scalars import LETTERS, argmax_margin, build_prompt, log_softmax, shuffled_options
+from sieveworks.functions.scalars import LETTERS, argmax_margin, build_prompt, hash_order, log_softmax, shuffled_options
 
 #: Bounds of the probe: greatest score difference of a repeat, share of items whose answer flips, accuracy above chance.
 DETERMINISM, FLIPS, ABOVE_CHANCE = 1e-4, 0.25, 0.10
@@ -35,31 +37,69 @@ def letter_ids(encode: Callable[[str], list[int]], n: int) -> list[int]:
     return ids
 
 
-def letter_scorer(stub: Callable[[str, list[str]], list[float]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """M1: a mapInPandas function around a model: prompt and letters to one log-probability per letter."""
+def seeded_options(item: Column, options: Column) -> Column:
+    """Options in the order of numpy's generator seeded with the first 8 hex digits of the item's sha256; null for null options.
+
+    The order that answers scored elsewhere were shown in; ``shuffled_options``
+    stays inside the JVM and is the one for everything new.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(ids: pd.Series, opts: pd.Series) -> pd.Series:
+        order = lambda i, n: np.random.default_rng(int(hashlib.sha256((i or "").encode()).hexdigest()[:8], 16)).permutation(n)
+        return pd.Series([None if o is None else [o[k] for k in order(i, len(o))] for i, o in zip(ids, opts, strict=True)], dtype=object)
+
+    return run(item, options)
+
+
+def letter_scorer(stub: Callable[[str, list[str]], list[float]], continuation: Callable[[str, str], tuple[float, int]] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """M1: a mapInPandas function around a model.
+
+    ``stub`` gives one log-probability per letter of a prompt; ``continuation``
+    the total log-probability of a text behind a prompt and its number of tokens.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            scores = [stub(p, list(LETTERS[: len(o)])) for p, o in zip(pdf["prompt"], pdf["shown"], strict=True)]
-            yield pd.DataFrame({"question_id": pdf["question_id"], "shown": pdf["shown"], "scores": scores})
+            asked = list(zip(pdf["prompt"], pdf["shown"], strict=True))
+            full = [None if continuation is None else [total / max(1, n) for total, n in (continuation(p, f" {x}") for x in o)] for p, o in asked]
+            yield pd.DataFrame({"question_id": pdf["question_id"], "shown": pdf["shown"], "scores": [stub(p, list(LETTERS[: len(o)])) for p, o in asked], "full": full})
 
     return run
 
 
-def score_items(items: DataFrame, stub: Callable[[str, list[str]], list[float]], seed: int | str = 0) -> DataFrame:
-    """M2: question_id, shown (options as presented), logprobs (map), chosen, margin.
+def score_items(items: DataFrame, stub: Callable[[str, list[str]], list[float]], seed: int | str | None = 0, continuation: Callable[[str, str], tuple[float, int]] | None = None) -> DataFrame:
+    """M2: question_id, shown (options as presented), logprobs (map), chosen, margin, and fulltext (map of length-normalised log-probabilities of the option texts; null without ``continuation``).
 
     Only the model runs in Python; shuffle, prompt, normalisation and choice
-    are column expressions. More than 8 options raise.
+    are column expressions. Without a seed the order is that of
+    ``seeded_options``. More than 8 options raise.
     """
-    shown = items.select("question_id", shuffled_options(F.col("question_id"), F.col("options"), seed).alias("shown"), "question_text")
+    order = seeded_options(F.col("question_id"), F.col("options")) if seed is None else shuffled_options(F.col("question_id"), F.col("options"), seed)
+    shown = items.select("question_id", order.alias("shown"), "question_text")
     n = F.size("shown")
     shown = shown.withColumn("shown", F.when(n <= len(LETTERS), F.col("shown")).otherwise(F.raise_error(F.lit("more than 8 options"))))
     asked = shown.select("question_id", "shown", build_prompt(F.col("question_text"), F.col("shown")).alias("prompt"))
-    raw = asked.mapInPandas(letter_scorer(stub), "question_id string, shown array<string>, scores array<double>")
+    raw = asked.mapInPandas(letter_scorer(stub, continuation), "question_id string, shown array<string>, scores array<double>, full array<double>")
     r = raw.withColumn("lp", log_softmax(F.col("scores")))
     best, margin = argmax_margin(F.col("lp"))
-    return r.select("question_id", "shown", F.map_from_arrays("shown", "lp").alias("logprobs"), F.get("shown", best).alias("chosen"), margin.alias("margin"))
+    return r.select("question_id", "shown", F.map_from_arrays("shown", "lp").alias("logprobs"), F.get("shown", best).alias("chosen"), margin.alias("margin"), F.map_from_arrays("shown", "full").alias("fulltext"))
+
+
+def reordered(items: DataFrame, stub: Callable[[str, list[str]], list[float]], salts: tuple[str, ...] = ("", "#1", "#2")) -> DataFrame:
+    """question_id and chosen_option of every item under several orders of its options, one per salt."""
+    many = items.select(F.col("question_id").alias("_id"), F.explode(F.array(*[F.lit(s) for s in salts])).alias("_salt"), "question_text", "options")
+    scored = score_items(many.select(F.to_json(F.struct("_id", "_salt")).alias("question_id"), "question_text", "options"), stub)
+    return scored.select(F.get_json_object("question_id", "$._id").alias("question_id"), F.col("chosen").alias("chosen_option"))
+
+
+def probe_subset(items: DataFrame, n: int = 40, template: str = "presence", kind: str = "A", split: str = "train", seed: int = 0) -> DataFrame:
+    """N questions (fewer if there are no more) of one template, type and split, the first in hash order.
+
+    items: question_id, template_id, question_type, split; repeated questions count once.
+    """
+    easy = items.where((F.col("template_id") == template) & (F.col("question_type") == kind) & (F.col("split") == split)).select("question_id").distinct()
+    return easy.orderBy(hash_order(seed, F.col("question_id")), "question_id").limit(n)
 
 
 def flip_rate(answers: DataFrame, item: list[str], by: list[str]) -> DataFrame:

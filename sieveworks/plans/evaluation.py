@@ -41,8 +41,19 @@ def option_shuffle(spark, d):
 
 
 def flip_rate(spark, d):
-    r = _rec(spark, d).select("question_id", "chosen_option", word("model").alias("model"))
-    return scoring.flip_rate(r, ["question_id"], ["model"])
+    """F23 over records: an item (image, question, condition, severity and model) whose repeated deliveries disagree has flipped."""
+    r = _rec(spark, d).where(F.col("item_id").isNotNull()).select("item_id", "chosen_option", word("model").alias("model"))
+    return scoring.flip_rate(r, ["item_id"], ["model"])
+
+
+def probe_subset(spark, d):
+    qb = table(spark, d, "question_bank").select("question_id", "template_id", F.upper(word("question_type")).alias("question_type"), word("split").alias("split"))
+    return scoring.probe_subset(qb)
+
+
+def option_permutation(spark, d):
+    """H11, exact (rows only: numpy's generator): every bank row's options in its seeded order."""
+    return table(spark, d, "question_bank").select("question_id", F.array_join(scoring.seeded_options(F.col("question_id"), F.col("options")), "|").alias("shown"))
 
 
 def score_delta(spark, d):
@@ -62,21 +73,33 @@ def chosen_distribution(spark, d):
 
 
 def probe_gate(spark, d):
-    """V9: which models pass which check, from the flip rate and the accuracy over records."""
+    """V9: which models pass which check: score differences of repeated deliveries, flips and accuracy over records."""
+    names = _rec(spark, d).groupBy("item_id").agg(F.min(word("model")).alias("model"))
+    same = score_delta(spark, d).join(names, "item_id").where("model is not null").groupBy("model").agg(F.max("delta").alias("value"))
+    same = same.select("model", F.lit("determinism").alias("check"), "value", (F.col("value") < scoring.DETERMINISM).alias("passed"))
     acc = probe_accuracy(spark, d).select("model", F.lit("accuracy").alias("check"), F.col("accuracy").alias("value"), "passed")
     flips = flip_rate(spark, d).where("model is not null").select("model", F.lit("flips").alias("check"), F.col("flip_rate").alias("value"), (F.col("flip_rate") <= scoring.FLIPS).alias("passed"))
-    return acc.unionByName(flips)
+    return acc.unionByName(flips).unionByName(same)
+
+
+def _stub(prompt: str, letters: list[str]) -> list[float]:
+    """A stand-in for a model whose scores SQL can repeat."""
+    return [float((len(prompt) * (i + 3)) % 11) for i in range(len(letters))]
+
+
+def _questions(spark, d):
+    return table(spark, d, "question_bank").groupBy("question_id").agg(F.min(F.struct("question_text", "options")).alias("x")).select("question_id", "x.question_text", "x.options")
 
 
 def stub_scores(spark, d):
-    """M1, M2 (rows only: the model runs in Python): every question scored by a stand-in for a model."""
+    """M1, M2: every question scored by a stand-in for a model, with the length-normalised score of the chosen text."""
+    r = scoring.score_items(_questions(spark, d), _stub, 7, lambda prompt, text: (-float(1 + len(prompt) % 7) * len(text), len(text)))
+    return r.select("question_id", "chosen", F.round("margin", 6).alias("margin"), F.array_join("shown", "|").alias("shown"), F.round(F.col("fulltext")[F.col("chosen")], 6).alias("fulltext"))
 
-    def stub(prompt: str, letters: list[str]) -> list[float]:
-        return [float((len(prompt) * (i + 3)) % 11) for i in range(len(letters))]
 
-    items = table(spark, d, "question_bank").groupBy("question_id").agg(F.min(F.struct("question_text", "options")).alias("x")).select("question_id", "x.question_text", "x.options")
-    r = scoring.score_items(items, stub, 7)
-    return r.select("question_id", "chosen", F.round("margin", 6).alias("margin"), F.array_join("shown", "|").alias("shown"))
+def reorder_flips(spark, d):
+    """F23 by the probe's own definition: questions whose answer moves with the order of the options (all move with a model that looks at letters only)."""
+    return scoring.flip_rate(scoring.reordered(_questions(spark, d), _stub).withColumn("model", F.lit("stand-in")), ["question_id"], ["model"])
 
 
 def latest_records(spark, d):
@@ -117,10 +140,28 @@ _RULES = [
     ("item_id", f"NOT coalesce(item_id = {_ID}, false)"),
 ]
 _PROBLEMS = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES) + ")"
-_FLIP = f"SELECT model, count(*) AS items, round(avg((lo <> hi)::INTEGER), 6) AS flip_rate FROM (SELECT {_word('model')} AS model, question_id, min(chosen_option) AS lo, max(chosen_option) AS hi FROM records WHERE chosen_option IS NOT NULL GROUP BY 1, 2) GROUP BY model"
+_FLIP = f"SELECT model, count(*) AS items, round(avg((lo <> hi)::INTEGER), 6) AS flip_rate FROM (SELECT {_word('model')} AS model, item_id, min(chosen_option) AS lo, max(chosen_option) AS hi FROM records WHERE chosen_option IS NOT NULL AND item_id IS NOT NULL GROUP BY 1, 2) GROUP BY model"
+
+
+def _orders(key: str, out: str) -> str:
+    """Questions under an order of their options: q (question and its options, once each), then the options in the order of a digest."""
+    return f"""q AS (SELECT question_id, question_text, options, row_number() OVER () AS i FROM (SELECT DISTINCT ON (question_id) question_id, question_text, options FROM question_bank ORDER BY question_id, question_text, options)),
+o AS (SELECT i, question_id, question_text, len(options) AS n, o, p - 1 AS p FROM (SELECT *, unnest(options) AS o, generate_subscripts(options, 1) AS p FROM q)),
+t AS (SELECT * FROM o, {out}),
+h AS (SELECT *, row_number() OVER (PARTITION BY i, salt ORDER BY sha256({key} || '|' || p), o) AS k FROM t),
+b AS (SELECT i, salt, string_agg(o, '|' ORDER BY k) AS shown, length('Answer with the letter of one option.' || any_value(question_text)) + 22 + sum(length(o) + 4)::BIGINT AS size FROM h GROUP BY i, salt),
+s AS (SELECT h.i, h.salt, h.question_id, h.o, h.k, b.shown, b.size, (b.size * (h.k + 2)) % 11 AS v FROM h JOIN b USING (i, salt)),
+z AS (SELECT *, row_number() OVER (PARTITION BY i, salt ORDER BY v DESC, k) AS r FROM s)"""
+
 _ACC = f"""SELECT model, count(*) AS n, round(avg(correct::INTEGER), 6) AS accuracy, count(*) FILTER (chosen_option LIKE '%cannot be determined%') AS abstained, round(avg(1.0::DOUBLE / greatest(len(options), 1)), 6) AS chance,
   round(avg(correct::INTEGER), 6) > round(avg(1.0::DOUBLE / greatest(len(options), 1)), 6) + 0.1 AS passed FROM (SELECT * REPLACE ({_word('model')} AS model) FROM records) WHERE answerable AND correct IS NOT NULL GROUP BY model"""
 
+_DELTA = """WITH r AS (SELECT item_id, timestamp, ingested_at, option_logprobs AS m, list_sort(map_entries(option_logprobs)) AS e, count(*) OVER (PARTITION BY item_id) AS n FROM records WHERE item_id IS NOT NULL),
+x AS (SELECT * FROM r WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp, ingested_at, e) = 1),
+y AS (SELECT * FROM r WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp DESC, ingested_at DESC, e DESC) = 1)
+SELECT x.item_id, round(list_max(list_transform(list_distinct(list_concat(map_keys(x.m), map_keys(y.m))), lambda k: CASE WHEN list_contains(map_keys(x.m), k) AND list_contains(map_keys(y.m), k) THEN abs(x.m[k] - y.m[k]) ELSE 'inf'::DOUBLE END)), 6) AS delta,
+  len(list_filter(map_values(x.m), lambda v: NOT isfinite(v))) = 0 AS finite, len(list_distinct(list_transform(map_values(x.m), lambda v: round(v, 6)))) > 1 AS varied FROM x JOIN y USING (item_id)"""
+
 SQL = {
     "record_ids": f"SELECT count(*) AS records, count(*) FILTER (item_id = {_ID}) AS agree, count(DISTINCT item_id) AS items FROM records",
     "validate_records": f"SELECT {_PROBLEMS} AS problems, count(*) AS records FROM records GROUP BY 1",
@@ -131,24 +172,26 @@ s AS (SELECT o.i, o.o, o.p, r.m[o.o] AS v FROM o JOIN r USING (i)),
 z AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, p) AS k, max(v) OVER (PARTITION BY i) AS top, ln(sum(exp(v - top)) OVER (PARTITION BY i)) AS lse FROM (SELECT *, max(v) OVER (PARTITION BY i) AS top FROM s)),
 g AS (SELECT i, max(o) FILTER (k = 1) AS choice, max(v) FILTER (k = 1) - max(v) FILTER (k = 2) AS margin, exp(max(-lse) FILTER (k = 1)) AS pr, count(*) AS n FROM z GROUP BY i)
 SELECT r.item_id, r.at, g.choice, CASE WHEN g.n = 1 THEN 'inf'::DOUBLE ELSE round(g.margin, 6) END AS margin, round(g.pr, 6) AS probability FROM r LEFT JOIN g USING (i)""",
+    "probe_subset": f"SELECT question_id FROM (SELECT DISTINCT question_id FROM question_bank WHERE template_id = 'presence' AND upper({_word('question_type')}) = 'A' AND {_word('split')} = 'train') ORDER BY sha256('0|' || question_id), question_id LIMIT 40",
+    "stub_scores": f"""WITH {_orders("'7|' || question_id", "(VALUES ('')) AS x(salt)")}
+SELECT any_value(question_id) AS question_id, any_value(o) FILTER (r = 1) AS chosen, CASE WHEN count(*) = 1 THEN 'inf'::DOUBLE ELSE (max(v) FILTER (r = 1) - max(v) FILTER (r = 2))::DOUBLE END AS margin, any_value(shown) AS shown, -(1 + any_value(size) % 7)::DOUBLE AS fulltext FROM z GROUP BY i""",
+    "reorder_flips": f"""WITH {_orders("""'0|{"_id":"' || question_id || '","_salt":"' || salt || '"}'""", "(VALUES (''), ('#1'), ('#2')) AS x(salt)")},
+c AS (SELECT question_id, min(o) AS lo, max(o) AS hi FROM z WHERE r = 1 GROUP BY 1)
+SELECT 'stand-in' AS model, count(*) AS items, round(avg((lo <> hi)::INTEGER), 6) AS flip_rate FROM c""",
     "option_shuffle": """WITH q AS (SELECT question_id, question_text, options, row_number() OVER () AS i FROM question_bank),
 o AS (SELECT i, question_id, o, p - 1 AS p FROM (SELECT i, question_id, unnest(options) AS o, generate_subscripts(options, 1) AS p FROM q)),
 h AS (SELECT i, o, row_number() OVER (PARTITION BY i ORDER BY sha256('7|' || question_id || '|' || p), o) AS k FROM o),
 s AS (SELECT i, string_agg(o, '|' ORDER BY k) AS shown, string_agg('ABCDEFGH'[k] || ') ' || o, chr(10) ORDER BY k) AS body FROM h GROUP BY i)
-SELECT question_id, shown, 'p' || sha256('Answer with the letter of one option.' || chr(10) || question_text || chr(10) || body || chr(10) || 'Answer:')[:10] AS prompt_id FROM q JOIN s USING (i)""",
+SELECT question_id, shown, 'p' || sha256('Answer with the letter of one option.' || chr(10) || chr(10) || 'Question: ' || question_text || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Answer:')[:10] AS prompt_id FROM q JOIN s USING (i)""",
     "flip_rate": _FLIP,
-    "score_delta": """WITH r AS (SELECT item_id, timestamp, ingested_at, option_logprobs AS m, list_sort(map_entries(option_logprobs)) AS e, count(*) OVER (PARTITION BY item_id) AS n FROM records WHERE item_id IS NOT NULL),
-x AS (SELECT * FROM r WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp, ingested_at, e) = 1),
-y AS (SELECT * FROM r WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp DESC, ingested_at DESC, e DESC) = 1)
-SELECT x.item_id, round(list_max(list_transform(list_distinct(list_concat(map_keys(x.m), map_keys(y.m))), lambda k: CASE WHEN list_contains(map_keys(x.m), k) AND list_contains(map_keys(y.m), k) THEN abs(x.m[k] - y.m[k]) ELSE 'inf'::DOUBLE END)), 6) AS delta,
-  len(list_filter(map_values(x.m), lambda v: NOT isfinite(v))) = 0 AS finite, len(list_distinct(list_transform(map_values(x.m), lambda v: round(v, 6)))) > 1 AS varied FROM x JOIN y USING (item_id)""",
+    "score_delta": _DELTA,
     "probe_accuracy": _ACC,
     "chosen_distribution": f"SELECT {_word('model')} AS model, chosen_option, count(*) AS records FROM records GROUP BY 1, 2",
-    "probe_gate": f"SELECT model, 'accuracy' AS \"check\", accuracy AS value, passed FROM ({_ACC}) UNION ALL SELECT model, 'flips', flip_rate, flip_rate <= 0.25 FROM ({_FLIP}) WHERE model IS NOT NULL",
+    "probe_gate": f"SELECT model, 'accuracy' AS \"check\", accuracy AS value, passed FROM ({_ACC}) UNION ALL SELECT model, 'flips', flip_rate, flip_rate <= 0.25 FROM ({_FLIP}) WHERE model IS NOT NULL UNION ALL SELECT model, 'determinism', max(delta), max(delta) < 1e-4 FROM ({_DELTA}) JOIN (SELECT item_id, min({_word('model')}) AS model FROM records GROUP BY 1) USING (item_id) WHERE model IS NOT NULL GROUP BY 1",
     "latest_records": f"WITH l AS (SELECT * FROM records WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY timestamp DESC, model DESC) = 1) SELECT {_word('model')} AS model, count(*) AS items, count(DISTINCT question_id) AS questions FROM l GROUP BY 1",
     "severity_matrix": f"SELECT condition, severity, count(*) AS records FROM (SELECT coalesce({_word('condition')}, '?') AS condition, coalesce(severity::VARCHAR, '?') AS severity FROM records) GROUP BY ROLLUP (condition, severity)",
 }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (record_ids, validate_records, assign_unsafe, log_softmax_argmax, option_shuffle, flip_rate, score_delta, probe_accuracy, chosen_distribution, probe_gate, stub_scores, latest_records, severity_matrix)}
+    return {f.__name__: f for f in (record_ids, validate_records, assign_unsafe, log_softmax_argmax, option_shuffle, flip_rate, score_delta, probe_accuracy, chosen_distribution, probe_gate, probe_subset, option_permutation, reorder_flips, stub_scores, latest_records, severity_matrix)}
