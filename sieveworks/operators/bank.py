@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions.scalars import count_bucket, hash_order, keyed_id, other_options, resolved_class, with_abstain
 from sieveworks.operators.ranks import hash_rank
 
-SEED = 20260924
+SEED = 4127
 ABSTAIN = "cannot be determined from this image"
 PARAPHRASE_FRACTION = 0.25
 # Template, type, text, pools, options, answer rule, number of items wanted (null: all), mechanism.
@@ -28,9 +28,20 @@ TEMPLATES = [
     ("patient_age", "D", "How old is the patient?", ["polyp", "colonic_negative", "colonic_pathology_nonpolyp"], ["under 40", "40 to 60", "over 60"], "abstain", 150, "evidence"),
     ("symptoms", "D", "What were the symptoms?", ["colonic_pathology_nonpolyp"], ["rectal bleeding", "abdominal pain", "diarrhoea", "no symptoms"], "abstain", 100, "evidence"),
 ]
-# Answers that follow from the pool, and from the beginning of a class name.
+# Other wordings of the answerable templates, one for each variant.
+PARAPHRASES = {
+    "presence": ["Does the frame show a polyp?", "Can you make out a polyp here?", "Would you say that a polyp is present?"],
+    "count": ["What is the number of polyps?", "How many separate polyps do you see?", "Please count the polyps in the frame."],
+    "location": ["Which part of the frame holds the polyp?", "Whereabouts does the polyp lie?", "In what region would you mark the polyp?"],
+    "finding_class": ["What is the main finding?", "Which of the listed findings fits best?", "How would you name what the frame shows?"],
+}
+# Answers that follow from the pool, and from the class name.
 POOL_ANSWER = {"polyp": "yes", "colonic_negative": "no"}
-CLASS_ANSWER = {"polyps": "polyp", "cecum": "normal mucosa", "retroflex-rectum": "normal mucosa", "ulcerative-colitis": "ulcerative colitis", "hemorrhoids": "haemorrhoids"}
+CLASS_ANSWER = {
+    "polyps": "polyp", "cecum": "normal mucosa", "retroflex-rectum": "normal mucosa", "hemorrhoids": "haemorrhoids",
+    "ulcerative-colitis-grade-0-1": "ulcerative colitis", "ulcerative-colitis-grade-1": "ulcerative colitis", "ulcerative-colitis-grade-1-2": "ulcerative colitis",
+    "ulcerative-colitis-grade-2": "ulcerative colitis", "ulcerative-colitis-grade-2-3": "ulcerative colitis", "ulcerative-colitis-grade-3": "ulcerative colitis",
+}
 SOURCES = ["pool", "components", "region", "class", "last", "abstain"]
 
 
@@ -58,7 +69,7 @@ def answered(rows: DataFrame) -> DataFrame:
     for k, v in POOL_ANSWER.items():
         by_pool = F.when(F.col("pool") == k, v).otherwise(by_pool)
     for k, v in CLASS_ANSWER.items():
-        by_class = F.when(cls.startswith(k), v).otherwise(by_class)
+        by_class = F.when(cls == k, v).otherwise(by_class)
     answer = (
         F.when(F.col("source") == "pool", by_pool)
         .when(F.col("source") == "components", F.when(F.col("pool") != "polyp", "0").otherwise(count_bucket(F.col("components"))))
@@ -94,11 +105,18 @@ def paraphrased_groups(groups: DataFrame, key: str = "group", fraction: float =
     return hash_rank(keyed, ["_all"], "_h", key, "_r").where(F.col("_r") <= F.bround(F.lit(fraction) * F.col("_r_n"))).select(key)
 
 
-def build_items(rows: DataFrame, templates: DataFrame, paraphrases: DataFrame, variants: int = 3) -> DataFrame:
+def wording_table(spark: SparkSession, wordings: dict[str, list[str]] | None = None) -> DataFrame:
+    """template_id, variant (from 1), wording; a closed list."""
+    rows = [(t, k, w) for t, texts in (PARAPHRASES if wordings is None else wordings).items() for k, w in enumerate(texts, 1)]
+    return spark.createDataFrame(rows, "template_id string, variant int, wording string")
+
+
+def build_items(rows: DataFrame, templates: DataFrame, paraphrases: DataFrame, wordings: DataFrame | None = None) -> DataFrame:
     """V5: items of all four kinds from canonical rows (group, rel_path, pool, split, class_label, components, region).
 
-    A items answer from the data, B items are variants of A items for the
-    sampled groups, C items reject the premise, D items abstain.
+    A items answer from the data, B items put A items of the sampled groups in
+    each of the other wordings of their template, C items reject the premise, D
+    items abstain.
     """
     made = answered(eligible(rows, templates)).withColumn("type", F.col("question_type"))
     sampled = even_sample(made, ["template_id"], "rel_path", "budget")
@@ -108,8 +126,9 @@ def build_items(rows: DataFrame, templates: DataFrame, paraphrases: DataFrame, v
         F.when(F.col("type") == "D", F.col("options")).otherwise(F.filter(other_options(F.col("choices"), F.col("expected")), lambda o: o != ABSTAIN)).alias("unsafe_options"),
         F.col("mechanism").alias("mechanism_label"), (F.col("type") != "D").alias("answerable"), F.lit("").alias("paraphrase_of"),
     )
-    again = base.where("question_type = 'A'").join(paraphrases, "group", "left_semi").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(variants))))
-    again = again.withColumn("paraphrase_of", F.col("question_id")).withColumn("question_id", keyed_id(F.col("rel_path"), F.col("template_id"), F.lit("B"), F.col("_k"))).withColumn("question_type", F.lit("B")).withColumn("question_text", F.concat(F.lit("In other words ("), F.col("_k").cast("string"), F.lit("): "), F.col("question_text"))).drop("_k")
+    other = F.broadcast(wording_table(rows.sparkSession) if wordings is None else wordings)
+    again = base.where("question_type = 'A'").join(paraphrases, "group", "left_semi").join(other, "template_id")
+    again = again.withColumn("paraphrase_of", F.col("question_id")).withColumn("question_id", keyed_id(F.col("rel_path"), F.col("template_id"), F.lit("B"), F.col("variant"))).withColumn("question_type", F.lit("B")).withColumn("question_text", F.col("wording")).drop("variant", "wording")
     return base.unionByName(again)
 
 

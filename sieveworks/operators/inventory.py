@@ -33,7 +33,7 @@ def categories(inventory: DataFrame) -> DataFrame:
 def dimensions(inventory: DataFrame) -> DataFrame:
     """range of sizes of readable files, distinct sizes, and the volume in GB; nulls if nothing is readable."""
     ok = inventory.where("readable")
-    return ok.agg(F.min("width").alias("min_width"), F.max("width").alias("max_width"), F.min("height").alias("min_height"), F.max("height").alias("max_height"), F.countDistinct("width", "height").alias("sizes"), F.round(F.sum("bytes") / 1e9, 6).alias("gb"))
+    return ok.agg(F.min("width").alias("min_width"), F.max("width").alias("max_width"), F.min("height").alias("min_height"), F.max("height").alias("max_height"), F.countDistinct("width", "height").alias("sizes"), F.bround(F.sum("bytes") / 1e9, 6).alias("gb"))
 
 
 def top_sizes(inventory: DataFrame, k: int = 10) -> DataFrame:

@@ -21,7 +21,7 @@ POOLS = {
 }
 # Splits in order with their shares.
 PROPORTIONS = [("train", 0.25), ("est_train", 0.30), ("cal", 0.20), ("test", 0.25)]
-SEED = 20260924
+SEED = 4127
 
 
 def class_table(spark: SparkSession, pools: dict | None = None) -> DataFrame:

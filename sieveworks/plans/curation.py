@@ -11,7 +11,6 @@ from sieveworks.operators import bank, grouping, pools
 from sieveworks.session import cut, table
 
 
-
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     """Images with pool and group: exact and near copies, directly or through others, named after the least digest (path of a file without one)."""
     inv = table(spark, d, "inventory").where(F.col("readable") & ~F.col("dataset").endswith("-masks"))
@@ -34,6 +33,17 @@ def pool_conflicts(spark, d):
     return pools.group_pools(_rows(spark, d)).where("pools > 1").select("group", "pool", "pools", "dropped")
 
 
+def pool_histogram(spark, d):
+    """how many groups touch how many pools."""
+    return pools.group_pools(_rows(spark, d)).groupBy("pools").agg(F.count("*").alias("groups"), F.sum("dropped").alias("dropped"))
+
+
+def mask_coverage(spark, d):
+    """Canonical images with and without a readable mask, per pool."""
+    canon = pools.canonical_rows(_usable(spark, d)).withColumn("stem", stem(F.col("rel_path"))).join(_facts(spark, d), "stem", "left")
+    return canon.groupBy("pool").agg(F.count("components").alias("with_mask"), F.count_if(F.col("components").isNull()).alias("without_mask"))
+
+
 def exclude_laundered(spark, d):
     rows = _rows(spark, d)
     return pools.laundered(rows, pools.group_pools(rows))
@@ -41,7 +51,7 @@ def exclude_laundered(spark, d):
 
 def _usable(spark, d):
     rows = _rows(spark, d)
-    return pools.usable(rows, pools.group_pools(rows))
+    return cut(pools.usable(rows, pools.group_pools(rows)))
 
 
 def usable_rows(spark, d):
@@ -173,8 +183,9 @@ splits AS (SELECT *, CASE WHEN n = 1 THEN 'est_train' WHEN r <= round_even(0.25:
 canon AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY grp ORDER BY NOT (pool = 'polyp' AND dataset = 'kvasir-seg-images'), rel_path) = 1)"""
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _TEMPLATES = "(VALUES " + ", ".join(f"('{t}', '{q}', '{x}', {_LIST(p)}, {_LIST(o)}, '{s}', {b if b else 'NULL::INTEGER'}, '{m}')" for t, q, x, p, o, s, b, m in bank.TEMPLATES) + ") AS t(template_id, question_type, text, pools, options, source, budget, mechanism)"
+_WORDINGS = "(VALUES " + ", ".join(f"('{t}', {k}, '{w}')" for t, texts in bank.PARAPHRASES.items() for k, w in enumerate(texts, 1)) + ") AS w(template_id, k, wording)"
 _POOL_CASE = "CASE r.pool " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in bank.POOL_ANSWER.items()) + " END"
-_CLASS_CASE = "CASE " + " ".join(f"WHEN coalesce(nullif(r.class_label, ''), CASE WHEN r.pool = 'polyp' THEN 'polyps' ELSE '' END) LIKE '{k}%' THEN '{v}'" for k, v in bank.CLASS_ANSWER.items()) + " END"
+_CLASS_CASE = "CASE " + " ".join(f"WHEN coalesce(nullif(r.class_label, ''), CASE WHEN r.pool = 'polyp' THEN 'polyps' ELSE '' END) = '{k}' THEN '{v}'" for k, v in bank.CLASS_ANSWER.items()) + " END"
 _ITEMS = f"""WITH {_BASE},
 facts AS (SELECT {_STEM.format("rel_path")} AS stem, max(CASE WHEN mask_empty THEN 0 ELSE 1 END) AS components, max(replace(regexp_replace(regexp_replace(mask_centroid_quadrant, '^top', 'upper'), '^bottom', 'lower'), '-', ' ')) AS region
   FROM inventory WHERE dataset LIKE '%-masks' AND readable AND mask_area_frac >= 0 GROUP BY 1),
@@ -192,8 +203,8 @@ cut2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_id OR
 base AS (SELECT sha256(rel_path || '|' || template_id || '|' || question_type)[:16] AS question_id, rel_path, grp AS "group", split, pool, template_id, question_type, text AS question_text, array_to_string(choices, '|') AS options, expected AS expected_behaviour,
   array_to_string(CASE WHEN question_type = 'D' THEN options ELSE list_filter(choices, lambda o: o <> expected AND o <> '{bank.ABSTAIN}') END, '|') AS unsafe_options, mechanism AS mechanism_label, question_type <> 'D' AS answerable, '' AS paraphrase_of FROM cut2),
 pg AS (SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY sha256('{bank.SEED}|paraphrase|' || grp), grp) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM crows)) WHERE r <= round_even(0.25::DOUBLE * n, 0)),
-again AS (SELECT sha256(rel_path || '|' || template_id || '|B|' || k)[:16] AS question_id, rel_path, "group", split, pool, template_id, 'B' AS question_type, 'In other words (' || k || '): ' || question_text AS question_text, options, expected_behaviour, unsafe_options, mechanism_label, answerable, question_id AS paraphrase_of
-  FROM base, (SELECT unnest([1, 2, 3]) AS k) WHERE question_type = 'A' AND "group" IN (SELECT grp FROM pg)),
+again AS (SELECT sha256(rel_path || '|' || template_id || '|B|' || k)[:16] AS question_id, rel_path, "group", split, pool, template_id, 'B' AS question_type, wording AS question_text, options, expected_behaviour, unsafe_options, mechanism_label, answerable, question_id AS paraphrase_of
+  FROM base JOIN {_WORDINGS} USING (template_id) WHERE question_type = 'A' AND "group" IN (SELECT grp FROM pg)),
 items AS (SELECT * FROM base UNION ALL SELECT * FROM again)"""
 _QB = f"qb AS (SELECT * REPLACE (upper({_word('question_type')}) AS question_type) FROM question_bank)"
 
@@ -210,6 +221,9 @@ SQL = {
     "class_pools": f"SELECT class_label, pool, role FROM {_CLASSES}",
     "majority_pool": f'WITH {_BASE} SELECT grp AS "group", pool, excluded, pools, dropped FROM gp',
     "pool_conflicts": f'WITH {_BASE} SELECT grp AS "group", pool, pools, dropped FROM gp WHERE pools > 1',
+    "pool_histogram": f"WITH {_BASE} SELECT pools, count(*) AS groups, sum(dropped)::BIGINT AS dropped FROM gp GROUP BY pools",
+    "mask_coverage": f"""WITH {_BASE}, stems AS (SELECT DISTINCT {_STEM.format("rel_path")} AS stem FROM inventory WHERE dataset LIKE '%-masks' AND readable AND mask_area_frac >= 0)
+SELECT pool, count(s.stem) AS with_mask, count(*) FILTER (s.stem IS NULL) AS without_mask FROM canon c LEFT JOIN stems s ON s.stem = {_STEM.format("c.rel_path")} GROUP BY pool""",
     "exclude_laundered": f"WITH {_BASE} SELECT r.class_label, count(*) AS rows FROM rows r JOIN gp g USING (grp) WHERE r.excluded AND NOT g.excluded GROUP BY 1",
     "usable_rows": f'WITH {_BASE} SELECT rel_path, grp AS "group", pool FROM ok',
     "tertile_bins": f"WITH {_BASE} SELECT stratum, count(*) AS groups FROM strata GROUP BY 1",
@@ -236,4 +250,4 @@ SELECT question_type, group_id, question_id, split FROM c2""",
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (class_pools, majority_pool, pool_conflicts, exclude_laundered, usable_rows, tertile_bins, stratified_split, split_pivot, split_images, split_invariants, canonical_row, question_items, built_checks, bank_checks, answer_balance, template_review, mechanism_counts, even_sample, paraphrase_groups)}
+    return {f.__name__: f for f in (class_pools, majority_pool, pool_conflicts, pool_histogram, mask_coverage, exclude_laundered, usable_rows, tertile_bins, stratified_split, split_pivot, split_images, split_invariants, canonical_row, question_items, built_checks, bank_checks, answer_balance, template_review, mechanism_counts, even_sample, paraphrase_groups)}

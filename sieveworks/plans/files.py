@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions.scalars import keyed_id, prompt_id
-from sieveworks.operators import grouping, inventory
+from sieveworks.operators import grouping, hamming, inventory
 from sieveworks.session import cut, table
 
 
@@ -104,6 +104,23 @@ def class_collapse(spark, d):
     return grouping.class_collapse(_groups(spark, d))
 
 
+def _signs(spark, d):
+    """Two codes of every embedding: the signs of its values, and of the sums of neighbours."""
+    bits = lambda f: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(f(i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    at = lambda i: F.get("embedding", i).cast("double")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits(at).alias("ph"), bits(lambda i: at(i) + at((i + 1) % 64)).alias("dh"))
+
+
+def embedding_pairs(spark, d):
+    """E4 at a distance of 20, on codes that have such pairs."""
+    return hamming.near_classes(hamming.code_classes(_signs(spark, d), "id", ["ph"]), 20)
+
+
+def embedding_dual_pairs(spark, d):
+    """E5 at a distance of 20 in both codes."""
+    return hamming.near_classes(hamming.code_classes(_signs(spark, d), "id", ["ph", "dh"]), 20, "ph", "dh")
+
+
 def threshold_sweep(spark, d):
     return grouping.threshold_sweep(_inv(spark, d))
 
@@ -144,6 +161,8 @@ near AS (SELECT x.rep AS a, y.rep AS b, x.n AS n_a, y.n AS n_b, greatest(bit_cou
 _REST = """
 rest AS (SELECT c.rep AS a, f.rel_path AS b FROM files f JOIN classes c USING (ph, dh)
   UNION SELECT min(rel_path) OVER (PARTITION BY sha), rel_path FROM files WHERE sha IS NOT NULL)"""
+_BITS = "list_sum(list_transform(range(64), lambda i: CASE WHEN {} > 0 THEN (1::UBIGINT << i::INTEGER)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT"
+_SIGNS = f"signs AS (SELECT vec_id AS id, {_BITS.format('embedding[i + 1]')} AS ph, {_BITS.format('(embedding[i + 1]::DOUBLE + embedding[(i + 1) % 64 + 1]::DOUBLE)')} AS dh FROM embeddings)"
 _GROUPS = f"""WITH RECURSIVE {_HASHED}, {_near2(4)}, {_REST},
 half AS (SELECT a, b FROM near UNION SELECT a, b FROM rest),
 edge AS (SELECT a, b FROM half WHERE a <> b UNION SELECT b, a FROM half WHERE a <> b),
@@ -173,7 +192,7 @@ SELECT rel_path, rule, CASE WHEN rule NOT LIKE 'kvasir-seg%' AND len(string_spli
     "content_digest": """SELECT doc_id, sha256(coalesce(text, '')) AS digest, sha256(doc_id || '|' || coalesce(source, '') || '|' || coalesce(text, ''))[:16] AS key, 'p' || sha256(coalesce(text, ''))[:10] AS prompt_id FROM documents""",
     "inventory_counts": "SELECT dataset || '/' || coalesce(class_label, 'None') AS key, count(*) AS files, count(*) FILTER (NOT readable) AS unreadable FROM inventory GROUP BY 1",
     "inventory_categories": " UNION ALL ".join(f"SELECT '{c}' AS column, coalesce({c}, 'None') AS value, count(*) AS files FROM inventory GROUP BY 2" for c in ("dataset", "format", "mode", "mask_centroid_quadrant")),
-    "dimension_summary": "SELECT min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height, count(DISTINCT (width, height)) AS sizes, round(sum(bytes) / 1e9, 6) AS gb FROM inventory WHERE readable",
+    "dimension_summary": "SELECT min(width) AS min_width, max(width) AS max_width, min(height) AS min_height, max(height) AS max_height, count(DISTINCT (width, height)) AS sizes, round_even(sum(bytes) / 1e9, 6) AS gb FROM inventory WHERE readable",
     "topk_combo": "SELECT width, height, count(*) AS n FROM inventory WHERE readable GROUP BY 1, 2 ORDER BY n DESC, width, height LIMIT 10",
     "size_summary": """SELECT count(*) AS n, round(min(x), 6) AS least, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS greatest, count(*) FILTER (x > 0.4) AS above_limit
 FROM (SELECT mask_area_frac AS x FROM inventory WHERE mask_area_frac >= 0 AND NOT isnan(mask_area_frac))""",
@@ -184,6 +203,8 @@ SELECT rel_path, mask_path FROM w WHERE mask_path <> rel_path AND mask_path IN (
     "exact_dup_groups": f"WITH d AS (SELECT DISTINCT rel_path, {_SHA} AS sha FROM inventory) SELECT sha, count(*) AS files, min(rel_path) AS first_path FROM d WHERE sha IS NOT NULL GROUP BY sha HAVING count(*) > 1",
     "near_dup_pairs": f"WITH {_HASHED}, {_NEAR1} SELECT * FROM near",
     "dual_hash_pairs": f"WITH {_HASHED}, {_near2(4)} SELECT * FROM near",
+    "embedding_pairs": f"WITH {_SIGNS}, c AS (SELECT ph, min(id) AS rep, count(*) AS n FROM signs GROUP BY ph) SELECT x.rep AS a, y.rep AS b, x.n AS n_a, y.n AS n_b, bit_count(xor(x.ph, y.ph))::INTEGER AS dist FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.ph, y.ph)) <= 20",
+    "embedding_dual_pairs": f"WITH {_SIGNS}, c AS (SELECT ph, dh, min(id) AS rep, count(*) AS n FROM signs GROUP BY ph, dh) SELECT x.rep AS a, y.rep AS b, x.n AS n_a, y.n AS n_b, greatest(bit_count(xor(x.ph, y.ph)), bit_count(xor(x.dh, y.dh)))::INTEGER AS dist FROM c x JOIN c y ON x.rep < y.rep AND bit_count(xor(x.ph, y.ph)) <= 20 AND bit_count(xor(x.dh, y.dh)) <= 20",
     "near_dup_members": f"WITH {_HASHED} SELECT rel_path, min(rel_path) OVER (PARTITION BY ph, dh) AS rep FROM files",
     "cross_within_pairs": f"WITH {_HASHED}, {_NEAR1} SELECT CASE WHEN x.dataset = y.dataset THEN 'within' ELSE 'cross' END AS kind, count(*) AS pairs, sum(n_a * n_b)::BIGINT AS file_pairs FROM near JOIN files x ON x.rel_path = a JOIN files y ON y.rel_path = b GROUP BY 1",
     "components": f"{_GROUPS} SELECT rel_path, grp AS \"group\" FROM gm",
@@ -199,4 +220,4 @@ SELECT c.grp AS "group", c.n, string_agg(c.x, ',' ORDER BY c.x) AS classes, (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (classify_rules, content_digest, inventory_counts, inventory_categories, dimension_summary, topk_combo, size_summary, pairing_missing, pairing_mismatch, mask_lookup, exact_dup_groups, near_dup_pairs, dual_hash_pairs, near_dup_members, cross_within_pairs, components, group_profile, group_sizes, group_examples, class_collapse, threshold_sweep)}
+    return {f.__name__: f for f in (classify_rules, content_digest, inventory_counts, inventory_categories, dimension_summary, topk_combo, size_summary, pairing_missing, pairing_mismatch, mask_lookup, exact_dup_groups, near_dup_pairs, dual_hash_pairs, embedding_pairs, embedding_dual_pairs, near_dup_members, cross_within_pairs, components, group_profile, group_sizes, group_examples, class_collapse, threshold_sweep)}
