@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: list[str] = []
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -57,4 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process wrote below the shared folder, once no result that reads them is needed; how many there were."""
+    removed = 0
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        removed += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return removed

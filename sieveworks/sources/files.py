@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sieveworks.functions.scalars import class_label, classify
+from sieveworks.functions.scalars import class_label, classify, stem
+from sieveworks.operators.blockcopy import _fs
+from sieveworks.raster import masks
 
 # Suffixes of image files.
 SUFFIXES = ["jpg", "jpeg", "png", "tif", "tiff", "bmp"]
@@ -38,6 +39,21 @@ def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return out
 
 
+#: First bytes (hex) of the formats, and the modes of frames by their channels.
+MAGIC = [("89504E47", "PNG"), ("FFD8FF", "JPEG"), ("424D", "BMP"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF")]
+MODES = {1: "L", 3: "RGB", 4: "RGBA"}
+
+
+def formats(spark: SparkSession, root: str) -> DataFrame:
+    """A3: rel_path and format by the first bytes of a file; empty if they are none of the known ones."""
+    head = F.hex(F.substring("content", 1, 4))
+    name = F.lit("")
+    for magic, fmt in reversed(MAGIC):
+        name = F.when(head.startswith(magic), fmt).otherwise(name)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(relative(F.col("path"), root).alias("rel_path"), name.alias("format"))
+
+
 def probe(spark: SparkSession, root: str) -> DataFrame:
     """A3: rel_path, width, height, channels, readable; -1, -1, 0 and false for files that can't be decoded."""
     img = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
@@ -46,13 +62,61 @@ def probe(spark: SparkSession, root: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Scan, digest, probe, classification and perceptual hashes of a folder; hashes only for readable files that are no masks."""
+    """One row per image file of a folder: scan, digest, classification, what a probe tells, perceptual hashes and mask facts.
+
+    rel_path, bytes, sha256, width, height, readable, dataset, class_label,
+    mode, format, error (``Type: message``, empty if readable), phash and dhash
+    (readable files that are no masks, else empty), mask_area_frac, mask_empty,
+    mask_bbox, mask_centroid_quadrant (masks, else null; area -1 and a quadrant
+    that starts with ``ERROR`` for a mask that can't be decoded).
+    """
     files, seen = scan(spark, root, content=True), probe(spark, root)
     rule = classify(F.col("rel_path"))
     base = files.join(seen, "rel_path", "left").withColumn("dataset", rule).withColumn("class_label", class_label(F.col("rel_path"), F.col("dataset")))
     img = spark.read.format("image").option("recursiveFileLookup", "true").load(root).where("image.width > 0").select(relative(F.col("image.origin"), root).alias("rel_path"), "image")
-    hashes = perceptual_hashes(img.where(~classify(F.col("rel_path")).endswith("-masks")))
-    return base.join(hashes, "rel_path", "left").withColumn("readable", F.coalesce("readable", F.lit(False))).fillna("", ["phash", "dhash"])
+    is_mask = classify(F.col("rel_path")).endswith("-masks")
+    hashes, facts = perceptual_hashes(img.where(~is_mask)), mask_facts(img.where(is_mask))
+    mode = F.lit("")
+    for channels, name in MODES.items():
+        mode = F.when(F.col("channels") == channels, name).otherwise(mode)
+    out = base.join(hashes, "rel_path", "left").join(facts, "rel_path", "left").join(formats(spark, root), "rel_path", "left")
+    out = out.withColumn("readable", F.coalesce("readable", F.lit(False))).withColumn("mode", mode).drop("channels").fillna("", ["phash", "dhash", "format"])
+    out = out.withColumn("format", F.when(F.col("readable"), F.col("format")).otherwise("")).withColumn("error", F.when(F.col("readable"), "").otherwise("DecodeError: not an image that can be read"))
+    lost = ~F.col("readable") & F.col("dataset").endswith("-masks")
+    out = out.withColumn("mask_area_frac", F.when(lost, -1.0).otherwise(F.col("mask_area_frac"))).withColumn("mask_empty", F.when(lost, False).otherwise(F.col("mask_empty")))
+    return out.withColumn("mask_bbox", F.when(lost, "").otherwise(F.col("mask_bbox"))).withColumn("mask_centroid_quadrant", F.when(lost, F.concat(F.lit("ERROR "), "error")).otherwise(F.col("mask_centroid_quadrant")))
+
+
+def mask_facts(images: DataFrame) -> DataFrame:
+    """rel_path, mask_area_frac, mask_empty, mask_bbox, mask_centroid_quadrant of mask frames of Spark's image source (grey above 127 is inside; box and quadrant are empty for an empty mask)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [masks.inventory_stats(masks.as_mask(_grey(r.data, r.h, r.w))) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"rel_path": pdf["rel_path"], "mask_area_frac": [x["area"] for x in rows], "mask_empty": [x["empty"] for x in rows], "mask_bbox": [x["bbox"] or "" for x in rows], "mask_centroid_quadrant": [x["quadrant"] or "" for x in rows]})
+
+    flat = images.select("rel_path", F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.data").alias("data"))
+    return flat.mapInPandas(run, "rel_path string, mask_area_frac double, mask_empty boolean, mask_bbox string, mask_centroid_quadrant string")
+
+
+def component_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Stem, components and region of the masks below a folder; masks that can't be decoded give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [masks.facts(masks.as_mask(_grey(r.data, r.h, r.w))) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"stem": pdf["stem"], "components": [n for n, _, _ in found], "region": [where for _, _, where in found]})
+
+    img = spark.read.format("image").option("recursiveFileLookup", "true").load(root).where("image.width > 0")
+    path = relative(F.col("image.origin"), root)
+    flat = img.where(classify(path).endswith("-masks")).select(stem(path).alias("stem"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.data").alias("data"))
+    return flat.mapInPandas(run, "stem string, components int, region string").groupBy("stem").agg(F.max("components").alias("components"), F.max("region").alias("region"))
+
+
+def _grey(data: bytes, h: int, w: int) -> np.ndarray:
+    """Luma of a frame of Spark's image source (BGR, or grey)."""
+    a = np.frombuffer(data, np.uint8).reshape(h, w, -1).astype(float)
+    return a[:, :, :3] @ [0.114, 0.587, 0.299] if a.shape[2] >= 3 else a[:, :, 0]
 
 
 def _shrunk(grey: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -97,8 +161,7 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
                     p.append("")
                     d.append("")
                     continue
-                a = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, -1).astype(float)
-                grey = a[:, :, :3] @ [0.114, 0.587, 0.299] if a.shape[2] >= 3 else a[:, :, 0]
+                grey = _grey(r.data, r.h, r.w)
                 p.append(phash(grey))
                 d.append(dhash(grey))
             yield pd.DataFrame({"rel_path": pdf["rel_path"], "phash": p, "dhash": d})
@@ -107,19 +170,27 @@ def perceptual_hashes(images: DataFrame) -> DataFrame:
     return flat.mapInPandas(run, "rel_path string, phash string, dhash string")
 
 
-def load_table(spark: SparkSession, base: str, stem: str, schema: StructType | str | None = None) -> DataFrame:
-    """A4: base/stem.parquet, else base/stem.csv (with the schema, if given); raises if neither is there."""
-    if Path(f"{base}/{stem}.parquet").exists():
-        return spark.read.schema(schema).parquet(f"{base}/{stem}.parquet") if schema else spark.read.parquet(f"{base}/{stem}.parquet")
-    if Path(f"{base}/{stem}.csv").exists():
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_table(spark: SparkSession, base: str, name: str, schema: StructType | str | None = None) -> DataFrame:
+    """A4: base/name.parquet, else base/name.csv (with the schema, if given); raises if neither is there."""
+    if exists(spark, f"{base}/{name}.parquet"):
+        return spark.read.schema(schema).parquet(f"{base}/{name}.parquet") if schema else spark.read.parquet(f"{base}/{name}.parquet")
+    if exists(spark, f"{base}/{name}.csv"):
         reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-        return (reader.schema(schema) if schema else reader).csv(f"{base}/{stem}.csv")
-    raise FileNotFoundError(f"neither {stem}.parquet nor {stem}.csv lies in {base}")
+        return (reader.schema(schema) if schema else reader).csv(f"{base}/{name}.csv")
+    raise FileNotFoundError(f"neither {name}.parquet nor {name}.csv lies in {base}")
 
 
 def load_config(path: str) -> dict:
-    """A5: a YAML or JSON configuration."""
-    text = Path(path).read_text(encoding="utf-8")
+    """A5: a YAML or JSON configuration, from any file system."""
+    system, p = _fs(path)
+    with system.open_input_file(p) as f:
+        text = f.read().decode("utf-8")
     if path.endswith(".json"):
         import json
 
