@@ -26,3 +26,15 @@ def test_entry_points(spark):
 def test_raster_queries(spark, name):
     df = catalogue.queries()[name](spark, DATA)
     assert df.count() == {"raster_degraded": 33, "raster_mask_facts": 1, "raster_controls": 2}[name] * 500
+
+
+def test_rating_form(spark):
+    form = catalogue.queries()["rating_form"](spark, DATA).cache()
+    n = form.count()
+    assert 500 * 20 < n <= 500 * 30 and form.agg({"position": "max"}).first()[0] == n and form.select("panel_id").distinct().count() == n
+
+
+def test_option_permutation(spark):
+    got = catalogue.queries()["option_permutation"](spark, DATA)
+    bank = spark.read.parquet(f"{DATA}/question_bank.parquet")
+    assert got.count() == bank.count() and set(got.columns) == {"question_id", "shown"}

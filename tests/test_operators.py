@@ -72,7 +72,7 @@ def test_scalars(spark):
     opts = F.array(*[F.lit(x) for x in "wxyz"])
     a, b = one(spark, scalars.shuffled_options(F.lit("q"), opts)), one(spark, scalars.shuffled_options(F.lit("r"), opts))
     assert sorted(a) == sorted(b) == list("wxyz") and a == one(spark, scalars.shuffled_options(F.lit("q"), opts))
-    assert one(spark, scalars.build_prompt(F.lit("Q?"), F.array(F.lit("u"), F.lit("v")))).endswith("Q?\nA) u\nB) v\nAnswer:")
+    assert one(spark, scalars.build_prompt(F.lit("Q?"), F.array(F.lit("u"), F.lit("v")))).endswith("\n\nQuestion: Q?\n\nA) u\nB) v\n\nAnswer:")
     assert one(spark, scalars.other_options(opts, F.lit("x"))) == ["w", "y", "z"]
     assert [one(spark, scalars.count_bucket(F.lit(n))) for n in (0, 1, 5)] == ["0", "1", "2 or more"]
     assert [one(spark, scalars.tertile(F.lit(v), F.lit(1.0), F.lit(2.0))) for v in (1.0, 1.5, 3.0)] == ["small", "mid", "large"]
@@ -270,11 +270,49 @@ def test_scoring(spark):
     gate = {r["check"]: r["passed"] for r in scoring.probe_gate(spark, 0.0, 0.3, 0.6, 0.4).collect()}
     assert gate == {"determinism": True, "flips": False, "accuracy": True}
     assert scoring.gpu_hours(1.0) == 100.0
+    full = scoring.score_items(items, _content, 0, lambda p, t: (-2.0 * len(t), len(t))).first()
+    assert set(full["fulltext"].values()) == {-2.0} and scoring.score_items(items, _content).first()["fulltext"] is None
+    import hashlib
+
+    import numpy as np
+
+    exact = scoring.score_items(items, _content, None).first()
+    seed = int(hashlib.sha256(exact["question_id"].encode()).hexdigest()[:8], 16)
+    options = items.where(F.col("question_id") == exact["question_id"]).first()["options"]
+    assert exact["shown"] == [options[k] for k in np.random.default_rng(seed).permutation(len(options))]
+    assert rows(scoring.flip_rate(scoring.reordered(items, _content).withColumn("m", F.lit("m")), ["question_id"], ["m"]).select("flip_rate")) == [(0.0,)]
     assert scoring.letter_ids(lambda c: [ord(c), 0], 3) == [65, 66, 67]
     with pytest.raises(ValueError, match="told apart"):
         scoring.letter_ids(lambda c: [1], 2)
 
 
+def test_probe_subset(spark):
+    data = [(f"q{i}", "presence" if i % 2 else "count", "A", "train" if i % 3 else "test") for i in range(60)] * 2
+    items = spark.createDataFrame(data, "question_id string, template_id string, question_type string, split string")
+    want = {q for q, t, _, s in data if t == "presence" and s == "train"}
+    assert {r["question_id"] for r in scoring.probe_subset(items).collect()} == want and len(want) == 20
+    few = [r["question_id"] for r in scoring.probe_subset(items, 7).collect()]
+    assert len(set(few)) == 7 and few == [r["question_id"] for r in scoring.probe_subset(items.repartition(5), 7).collect()]
+    assert scoring.probe_subset(items.limit(0)).count() == 0
+
+
+def test_class_answers_are_exact(spark):
+    cols = "rel_path string, class_label string, pool string, source string, options array<string>, components int, region string"
+    opts = ["polyp", "normal mucosa", "ulcerative colitis", "haemorrhoids"]
+    df = spark.createDataFrame([(c, c, "colonic_negative", "class", opts, None, None) for c in ("cecum", "cecum-x", "polyps-y", "ulcerative-colitis-grade-2", "ulcerative-colitis")], cols)
+    assert {r["rel_path"]: r["expected"] for r in bank.answered(df).collect()} == {"cecum": "normal mucosa", "ulcerative-colitis-grade-2": "ulcerative colitis"}
+
+
+def test_keys_grow_with_the_codes():
+    assert [hamming.bands_to_agree(n, 4) for n in (0, 1 << 23, (1 << 23) + 1, 1 << 28, 1 << 30, 1 << 40)] == [2, 2, 3, 3, 4, 4] and hamming.bands_to_agree(1 << 40, 12) == 1
+    r = random.Random(0)
+    for agree in (2, 3, 4):
+        masks = hamming.band_masks(4, agree)
+        for _ in range(200):
+            diff = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(diff & (m % (1 << 64)) == 0 for m in masks)
+
+
 # small files
 def test_shard_lines(spark):
     payload = '﻿# scan of 3\r\nrel_path,run,bytes\n"./a/b.jpg",1,10\n\na\\b.jpg\t2\t20\rbytes=5;run=3;rel_path= a/b.jpg;\n{"rel_path": "a\\/b.jpg", "run": 4, "bytes": 7}\n{"run":5,"bytes":9,"ok":true,"rel_path":"a/b.jpg"}\n{"rel_path": "a/b.jpg", "run": 6, "by\nbytes=5;run=7;rel_path=a/b.jpg\n"a/""q"".jpg",8,1\n"a/b.jpg",9,\n{"rel_path": "a/b.jpg", "run": 10}\n"a/b.jpg",11,4'
