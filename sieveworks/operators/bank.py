@@ -89,13 +89,13 @@ def even_sample(rows: DataFrame, by: list[str], key: str, budget: str, seed: int
     """
     keyed = rows.withColumn("_h", hash_order(seed, *[F.col(c) for c in by], F.col(key)))
     splits = keyed.groupBy(*by).agg(F.countDistinct("split").alias("_splits"))
-    ranked = hash_rank(keyed, [*by, "split"], "_h", key, "_r").join(F.broadcast(splits), by)
+    ranked = hash_rank(keyed, [*by, "split"], "_h", key, "_r").join(splits, by)
     per = F.greatest(F.lit(1), F.floor(F.col(budget) / F.col("_splits")))
     first = ranked.where(F.col(budget).isNull() | (F.col("_r") <= per)).drop("_r", "_r_n")
     placed = first.groupBy(*by, "split").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = placed.select(*by, "split", before.alias("_before"))
-    again = hash_rank(first, [*by, "split"], "_h", key, "_r").join(F.broadcast(offsets), [*by, "split"])
+    again = hash_rank(first, [*by, "split"], "_h", key, "_r").join(offsets, [*by, "split"])
     return again.where(F.col(budget).isNull() | (F.col("_r") + F.col("_before") <= F.col(budget))).drop("_h", "_r", "_r_n", "_before", "_splits")
 
 

@@ -65,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut and its size is known to the planner, which broadcasts it only if it is small."""
+    where = scratch_path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def remove_scratch(spark: SparkSession) -> int:
     """Delete the tables that this process wrote below the shared folder, once no result that reads them is needed; how many there were."""
     removed = 0
