@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.normal import latest_rows, path, usable_margin, word
 from sieveworks.llm import cutoffs, group_split, match_groups, packing, quantile_digest, quota_sample, split_overlap, tokens, truncation
-from sieveworks.session import table
+from sieveworks.session import cut, table
 
 CAPACITY = 2048
 MAX_HAMMING = 4
@@ -54,6 +54,11 @@ def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).select("group_id", "component", "n", "split")
 
 
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """How far the assignment is from the wanted proportions, per split and pool."""
+    return group_split.balance(table(spark, d, "records"), table(spark, d, "question_bank"), table(spark, d, "split_proportions"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "near_pairs").where(F.col("hamming").between(0, MAX_HAMMING)).select(path("a").alias("a"), path("b").alias("b"))
     return match_groups.linked_groups(pairs).select(F.col("group_id").alias("group_path"), F.col("record").alias("rel_path"))
@@ -69,7 +74,7 @@ def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows, targets = _scored(spark, d)
-    return cutoffs.kept_rows(rows, cutoffs.cutoffs(rows, targets)).select("item_id")
+    return cutoffs.kept_rows(rows, cutoffs.edges(rows, targets)).select("item_id")
 
 
 def p6_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +88,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    files = split_overlap.file_splits(table(spark, d, "inventory"), table(spark, d, "records"))
+    files = cut(split_overlap.file_splits(table(spark, d, "inventory"), table(spark, d, "records")))
     return split_overlap.report(files, split_overlap.overlaps(files))
 
 
@@ -111,6 +116,12 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).select(F.col("id").alias("doc_id"), "piece", "pieces", F.col("size").alias("tokens"), "bin")
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled: containers, items, tokens, and the share of all their space that is used."""
+    fill = packing.bin_fill(_packed(spark, d)).agg(F.count("*").alias("bins"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"))
+    return fill.withColumn("fill", F.try_divide(F.col("tokens"), F.col("bins") * CAPACITY))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id")
 
@@ -120,4 +131,4 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sample, p2_percentiles, p2_day_digests, p3_found, p3_assignment, p4_found, p6_found, p6_cutoffs, p7_found, p7_report, p8_ids, p8_round_trip, p9_found, p9_packed, p10_found, p10_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p2_percentiles, p2_day_digests, p3_found, p3_assignment, p3_balance, p4_found, p6_found, p6_cutoffs, p7_found, p7_report, p8_ids, p8_round_trip, p9_found, p9_packed, p9_fill, p10_found, p10_by_source)}
