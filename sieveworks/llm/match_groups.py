@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.session import cut
+from sieveworks.session import cut, saved
 
 #: Edges that one task holds at most, up to the spread of a hash partitioning.
 EDGES_PER_TASK = 1 << 15
@@ -66,7 +66,7 @@ def dealt(edges: DataFrame, n: int, edges_per_task: int, level: int) -> DataFram
     names = ends.groupBy("a").agg(F.min("k").alias("k")).select("a", F.least("k", key("a")).alias("name"))
     named = cut(edges.join(names, "a").select("a", "b", "name"))
     crowded = named.groupBy("name").agg(F.ceil(F.count("*") / edges_per_task).alias("tasks")).where("tasks > 1")
-    rows = named.join(F.broadcast(crowded), "name", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("tasks", F.lit(1))))
+    rows = named.join(saved(crowded, "crowded"), "name", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("tasks", F.lit(1))))
     return rows.repartition(-(-n // edges_per_task), "name", "part").select("a", "b")
 
 
@@ -76,8 +76,7 @@ def linked_groups(pairs: DataFrame, edges_per_task: int = EDGES_PER_TASK, progre
     pairs: columns a and b of one ordered type. Pairs with a null end and pairs
     of a record with itself link nothing; repeated and turned-round pairs count
     once. An empty table gives no row. ``progress`` takes the number of edges of
-    every level. Names with more edges than a task holds (n / edges_per_task at
-    most) are broadcast.
+    every level.
     """
     kind = dict(pairs.dtypes)["a"]
     link = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

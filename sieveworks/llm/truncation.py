@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm import minhash
-from sieveworks.session import scratch_path
+from sieveworks.session import saved
 
 #: Marks that a writer leaves where it stopped.
 MARK = re.compile(r"(?:\[cut\]|\(truncated\)|\[\+\d{1,40} chars\]|\w(?:…|\.\.\.))$")
@@ -169,21 +169,16 @@ def closing(canon: str) -> tuple[str, str, str, str, int]:
 def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of SLICE characters at most, or one row."""
     for batch in batches:
-        sizes = np.frombuffer(batch.column(column).buffers()[1], np.int32 if pa.types.is_string(batch.schema.field(column).type) else np.int64)[batch.column(column).offset :][: len(batch) + 1]
+        if not batch.num_rows:
+            continue
+        sizes = np.frombuffer(batch.column(column).buffers()[1], np.int32 if pa.types.is_string(batch.schema.field(column).type) else np.int64)[batch.column(column).offset :][: batch.num_rows + 1]
         start = 0
-        while start < len(batch):
+        while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(sizes, sizes[start] + SLICE, "right")) - 1)
-            yield batch.slice(start, min(stop, len(batch)) - start)
+            yield batch.slice(start, min(stop, batch.num_rows) - start)
             start = stop
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back, so that its size is known to the planner."""
-    where = scratch_path(df.sparkSession, what)
-    df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
-
-
 def closings(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, kind (doc_type, empty if null), raw (hash of the text as it stands) and,
     null for null, empty and blank texts, h and g (hashes of the text in one spelling), line, pw, kw, form (hashes) and flags of its end."""
