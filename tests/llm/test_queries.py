@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sieveworks.llm import queries, sql, tokens
+from sieveworks.llm import queries, quota_sample, sql, tokens
 from tests.compare import DATA, check, connection
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -26,12 +26,18 @@ def test_token_queries(spark):
     assert {r["doc_id"] for r in queries.p9_found(spark, DATA).collect()} == {d for d, i in ids.items() if len(i) > 2048}
     assert all(r["same"] for r in queries.p8_round_trip(spark, DATA).collect())
     packed = queries.p9_packed(spark, DATA).collect()
+    fill = queries.p9_fill(spark, DATA).first()
+    assert fill["tokens"] == sum(map(len, ids.values())) and 0.9 < fill["fill"] <= 1
     assert sum(r["tokens"] for r in packed) == sum(map(len, ids.values())) and {r["doc_id"] for r in packed} == set(ids)
 
 
 def test_sample_meets_quotas(spark):
-    drawn = queries.p1_sample(spark, DATA).collect()
-    assert len({r["item_id"] for r in drawn}) == len(drawn) > 0
+    drawn = queries.p1_sample(spark, DATA)
+    assert drawn.count() == drawn.select("item_id").distinct().count() > 0
+    records, bank, targets = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("records", "question_bank", "sample_targets"))
+    quotas = quota_sample.quotas(quota_sample.usable_items(records, bank), targets)
+    want = {tuple(r[f"as_{c}"] for c in quota_sample.CATEGORY): r["quota"] for r in quotas.where("quota > 0").collect()}
+    assert {tuple(r[c] for c in quota_sample.CATEGORY): r["count"] for r in drawn.groupBy(*quota_sample.CATEGORY).count().collect()} == want
 
 
 def test_percentiles_are_within_the_bound(spark):
