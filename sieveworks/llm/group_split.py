@@ -5,10 +5,11 @@ components must not be divided. Components come from minimum-label propagation;
 they are then assigned so that sizes follow the proportions and every split has
 about the same distribution of a label.
 
-Components with the same rows per label are a class. A class is dealt to the
-splits in the very proportions; what the rounding leaves of it (fewer members
-than splits) goes one by one to the split that keeps the deviation least, from
-classes of large components to small ones. Every component takes part as it is,
+Components with the same rows per label are a class. From classes of large
+components to small ones, a class is dealt in proportion to what the splits still
+want of its labels (the given proportions, until a large component upsets them),
+and what the rounding leaves of it (fewer members than splits) goes one by one to
+the split that rounding owes most. Every component takes part as it is,
 whatever its size and the size of the data.
 """
 
@@ -70,35 +71,49 @@ def entity_components(links: DataFrame) -> DataFrame:
 
 
 class Balance:
-    """Rows that each split still wants, in all and per label, and the split that a component does best in."""
+    """Rows of each label that each split still wants, and how many components of a class each gets."""
 
     def __init__(self, totals: dict[str, int], shares: list[tuple[str, float]]) -> None:
         norm = sum(p for _, p in shares if p > 0) or 1.0
         self.shares = [(s, p / norm) for s, p in shares if p > 0]
-        self.totals, self.whole = totals, max(1, sum(totals.values()))
         self.want = {s: {label: n * p for label, n in totals.items()} for s, p in self.shares}
-        self.goal = {s: sum(totals.values()) * p for s, p in self.shares}
+        self.owed = {s: dict.fromkeys(totals, 0.0) for s, _ in self.shares}
 
-    def cost(self, split: str, load: dict[str, int]) -> float:
-        """Growth of the squared deviation, of sizes and per label: adding n to a gap g changes it by n * n - 2 * n * g."""
-        size = sum(load.values())
-        labels = sum(n * (n - 2 * self.want[split][label]) / self.totals[label] for label, n in load.items())
-        return labels + size * (size - 2 * self.goal[split]) / self.whole
+    def wanted(self, load: dict[str, int]) -> dict[str, float]:
+        """The share of each split in what is still wanted of the labels of a load; the given one of a label that nobody wants.
 
-    def take(self, split: str, load: dict[str, int], times: int) -> None:
+        What a split has too much of counts against it, so that the labels of a
+        load make up for each other, and a label of which little is left counts for
+        more, as later classes can't mend it; only the outcome is kept above 0.
+        """
+        out = {s: 0.0 for s, _ in self.shares}
         for label, n in load.items():
-            self.want[split][label] -= n * times
-            self.goal[split] -= n * times
+            total = sum(self.want[s][label] for s, _ in self.shares)
+            for s, p in self.shares:
+                out[s] += (self.want[s][label] / total if total >= 1 else p) * n / max(1.0, total)
+        out = {s: max(0.0, x) for s, x in out.items()}
+        whole = sum(out.values())
+        return {s: x / whole for s, x in out.items()} if whole > 0 else dict(self.shares)
 
     def deal(self, load: dict[str, int], members: int) -> dict[str, int]:
-        """How many of the members of a class go to each split."""
-        out = {s: int(members * p) for s, p in self.shares}
-        for s, k in out.items():
-            self.take(s, load, k)
+        """How many of the members of a class go to each split.
+
+        What the rounding down leaves is owed to the splits, per label and in
+        components; the members that are left go to the split that is owed most.
+        """
+        ideal, size = {s: members * p for s, p in self.wanted(load).items()}, sum(load.values())
+        out, part = {s: int(x) for s, x in ideal.items()}, {label: n / size for label, n in load.items()}
+        for s, x in ideal.items():
+            for label, w in part.items():
+                self.owed[s][label] += (x - out[s]) * w
         for _ in range(members - sum(out.values())):
-            best = min(out, key=lambda s: self.cost(s, load))
-            self.take(best, load, 1)
+            best = max(out, key=lambda s: sum(w * self.owed[s][label] for label, w in part.items()))
             out[best] += 1
+            for label, w in part.items():
+                self.owed[best][label] -= w
+        for s, k in out.items():
+            for label, n in load.items():
+                self.want[s][label] -= n * k
         return out
 
 
