@@ -19,6 +19,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.isEmpty():
+        return vertices.select("id").distinct().withColumn("component", F.col("id"))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
