@@ -4,7 +4,8 @@ No page is decoded: the body of each file (its row groups and indexes) is
 copied as it is, and a new footer lists all row groups with their offsets moved.
 Files are merged only with files of the same schema and key-value metadata. Each
 merged file is read back (footer only) and its block count and row total are
-held against those of its inputs before it gets its final name.
+held against those of its inputs before it gets its final name. The folder of
+merged files gets its own name only when all of them are there.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ _COPY = 8 << 20
 def _fs(path: str):
     from pyarrow import fs
 
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = "file://" + path[5:]
+    if path.startswith("file:/"):  # as Spark spells it: nothing in it is escaped
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -79,12 +80,27 @@ def _moved(group: dict, by: int, ordinal: int) -> dict:
 
 
 def merge_files(paths: list[str], out: str) -> tuple[int, int]:
-    """Blocks and rows of the file made of the given files; raises if it does not hold them all."""
-    import pyarrow.parquet as pq
+    """Blocks and rows of the file made of the given files; raises, and leaves no file, if it does not hold them all.
 
+    Until it is whole it has a name with an underscore before it, which readers of the folder pass over.
+    """
     system, target = _fs(out)
+    folder, name = os.path.split(target)
+    tmp = os.path.join(folder, f"_{name}.{uuid.uuid4().hex}.tmp")
+    try:
+        blocks, rows = _copied(paths, system, tmp, out)
+        system.move(tmp, target)
+    finally:
+        if system.get_file_info(tmp).is_file:
+            system.delete_file(tmp)
+    return blocks, rows
+
+
+def _copied(paths: list[str], system, tmp: str, out: str) -> tuple[int, int]:
+    """Blocks and rows of the files, copied into ``tmp`` and read back."""
+    import pyarrow.parquet as pq
+
     groups, rows, footer, seen = [], 0, None, set()
-    tmp = f"{target}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(tmp) as w:
         w.write(MAGIC)
         at = len(MAGIC)
@@ -105,6 +121,8 @@ def merge_files(paths: list[str], out: str) -> tuple[int, int]:
                     w.write(part)
                     left -= len(part)
             mine = own[4][1][1] if 4 in own else []
+            if (held := sum(g[3][1] for g in mine)) != own[3][1]:
+                raise ValueError(f"{path}: its blocks hold {held} rows, not {own[3][1]} as its footer says")
             groups += [_moved(g, at - len(MAGIC), len(groups) + i) for i, g in enumerate(mine)]
             rows += own[3][1]
             at += body - len(MAGIC)
@@ -116,20 +134,23 @@ def merge_files(paths: list[str], out: str) -> tuple[int, int]:
         made = pq.ParquetFile(f).metadata
         if (made.num_row_groups, made.num_rows) != (len(groups), rows):
             raise ValueError(f"{out}: {made.num_row_groups} blocks and {made.num_rows} rows, not {len(groups)} and {rows}")
-    system.move(tmp, target)
     return len(groups), rows
 
 
 def consolidate(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """bin, files, blocks, rows, out: what each merged file below ``target`` was made of.
 
-    Every parquet file below ``source`` goes into exactly one merged file; a
-    file that is no whole parquet file raises an error rather than being left
-    out. The row total of all merged files is held against that of all inputs.
-    Files are listed and their footers read in parallel; each task fills merged
-    files one after another up to ``target_bytes``, so that a task holds the
-    paths of one merged file only. A folder without files gives no row. The
-    merge runs when the result is first asked for and is not repeated.
+    Every file below ``source`` goes into exactly one merged file, whatever its
+    name, save those that Spark hides (a first letter of _ or .); one that is no
+    whole parquet file, or is empty, raises an error rather than being left out,
+    and so does a source that can't be listed. The file and row totals of all
+    merged files are held against those of all inputs. ``target`` appears only
+    when all this holds: the files are made beside it and moved there. A target
+    that has files already raises. Files are listed and their footers read in
+    parallel; each task fills merged files one after another up to
+    ``target_bytes``, so that a task holds the paths of one merged file only. A
+    folder without files gives no row and no target. The merge runs at once and
+    is not repeated.
     """
     from sieveworks.session import cut
 
@@ -152,29 +173,43 @@ def consolidate(spark: SparkSession, source: str, target: str, target_bytes: int
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         paths = sorted(pdf["path"])
-        out = os.path.join(target, f"part-{int(pdf['bin'].iloc[0]):016x}.parquet")
-        system, p = _fs(out)
-        system.create_dir(os.path.dirname(p), recursive=True)
-        blocks, rows = merge_files(paths, out)
+        name = f"part-{int(pdf['bin'].iloc[0]):016x}.parquet"
+        out = os.path.join(target, name)
+        system, p = _fs(aside)
+        system.create_dir(p, recursive=True)
+        blocks, rows = merge_files(paths, os.path.join(aside, name))
         if rows != int(pdf["rows"].sum()):
             raise ValueError(f"{out}: its inputs changed while they were read")
         return pd.DataFrame({"bin": [pdf["bin"].iloc[0]], "files": [len(paths)], "blocks": [blocks], "rows": [rows], "out": [out]})
 
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
-        total, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
-    except Exception as e:  # noqa: BLE001 - an empty folder has no schema to infer
-        if "PATH_NOT_FOUND" in str(e):
-            raise
-        total, n = 0, 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    place = hadoop(target)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place) and len(system.listStatus(place)):
+        raise FileExistsError(f"{target}: there are files already")
+    aside = system.makeQualified(hadoop(f"{target.rstrip('/')}.{uuid.uuid4().hex}.part")).toString()
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="[^_.]*", ignoreMissingFiles=False).load(source).select("path", "length")
+    there = len(files._jdf.inputFiles())
+    total, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    if n != there:  # Spark passes over files of 0 bytes
+        raise ValueError(f"{source}: {there - n} of {there} files are empty, so not parquet files")
     if not n:
         return spark.createDataFrame([], "bin bigint, files int, blocks int, rows bigint, out string")
     tasks = int(min(max(1, total // (4 * target_bytes)), 1000))
     listed = cut(files.mapInPandas(footers, "path string, length bigint, kind string, rows bigint"))
     dealt = listed.repartitionByRange(tasks, "path") if tasks > 1 else listed.coalesce(1)
     bins = cut(dealt.mapInPandas(deal, "path string, length bigint, kind string, rows bigint, bin bigint"))
-    merged = cut(bins.groupBy("bin").applyInPandas(merge, "bin bigint, files int, blocks int, rows bigint, out string"))
-    have, want = merged.agg(F.sum("rows")).first()[0], listed.agg(F.sum("rows")).first()[0]
-    if have != want:
-        raise ValueError(f"the merged files hold {have} rows, their inputs {want}")
+    try:
+        merged = cut(bins.groupBy("bin").applyInPandas(merge, "bin bigint, files int, blocks int, rows bigint, out string"))
+        have, want = tuple(merged.agg(F.sum("files"), F.sum("rows")).first()), (n, listed.agg(F.sum("rows")).first()[0])
+        if have != want:
+            raise ValueError(f"the merged files hold {have[0]} files and {have[1]} rows, their inputs {want[0]} and {want[1]}")
+        for left in system.globStatus(hadoop(aside, "_*")) or []:  # of tasks that were killed
+            system.delete(left.getPath(), False)
+        if system.exists(place):
+            system.delete(place, False)
+        if not system.rename(hadoop(aside), place):
+            raise OSError(f"{aside} can't be moved to {target}")
+    finally:
+        system.delete(hadoop(aside), True)
     return merged

@@ -24,7 +24,7 @@ def _compacted(spark: SparkSession, d: str, target_bytes: int = TARGET_BYTES) ->
     pieces, merged = scratch_path(spark, "pieces"), scratch_path(spark, "merged")
     scan_records(table(spark, d, "raw_shards")).write.option("maxRecordsPerFile", PIECE_ROWS).parquet(pieces)
     made = consolidate(spark, pieces, merged, target_bytes)
-    return (spark.read.parquet(merged) if made.count() else spark.read.parquet(pieces)), made
+    return spark.read.parquet(merged), made
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -353,6 +353,78 @@ def test_block_copy(spark, tmp_path):
     assert blockcopy.consolidate(spark, str(tmp_path / "empty"), str(tmp_path / "out3")).count() == 0
 
 
+def _pieces(spark, folder):
+    """Ten files of a hundred rows in all, by name."""
+    spark.range(100).repartition(10).write.parquet(str(folder))
+    return sorted(folder.glob("*.parquet"))
+
+
+def _miscounted(file):
+    """The file with a footer that says one row more than its blocks hold."""
+    footer, body = blockcopy.read_footer(str(file))
+    raw = thrift.dump_struct({**footer, 3: (thrift.I64, footer[3][1] + 1)})
+    file.write_bytes(file.read_bytes()[:body] + raw + len(raw).to_bytes(4, "little") + blockcopy.MAGIC)
+
+
+def test_block_copy_of_a_source_that_cannot_be_listed(spark, tmp_path):
+    for source in ("nosuch://host/folder", str(tmp_path / "missing")):
+        with pytest.raises(Exception, match="nosuch|PATH_NOT_FOUND"):
+            blockcopy.consolidate(spark, source, str(tmp_path / "out")).collect()
+    assert not (tmp_path / "out").exists()
+
+
+def test_block_copy_between_folders_with_odd_names(spark, tmp_path):
+    _pieces(spark, tmp_path / "a b%20c")
+    made = blockcopy.consolidate(spark, str(tmp_path / "a b%20c"), str(tmp_path / "d e%20f")).first()
+    assert (made["files"], made["rows"], made["blocks"]) == (10, 100, pq.ParquetFile(made["out"]).metadata.num_row_groups)
+
+
+def test_block_copy_leaves_out_no_file(spark, tmp_path):
+    files = _pieces(spark, tmp_path / "src")
+    files[0].rename(tmp_path / "src" / "part-0.PARQ")
+    files[1].rename(tmp_path / "src" / "000001_0")
+    made = blockcopy.consolidate(spark, str(tmp_path / "src"), str(tmp_path / "out")).collect()
+    assert [(r["files"], r["rows"]) for r in made] == [(10, 100)]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(100))
+    files[2].write_bytes(b"")
+    with pytest.raises(ValueError, match="1 of 10 files are empty"):
+        blockcopy.consolidate(spark, str(tmp_path / "src"), str(tmp_path / "out2"))
+
+
+def test_block_copy_that_fails_leaves_nothing(spark, tmp_path):
+    files = _pieces(spark, tmp_path / "src")
+    whole = files[-1].read_bytes()
+    _miscounted(files[-1])
+    with pytest.raises(Exception, match="its blocks hold"):
+        blockcopy.consolidate(spark, str(tmp_path / "src"), str(tmp_path / "out"), 1).collect()
+    assert [p.name for p in tmp_path.iterdir()] == ["src"]
+    files[-1].write_bytes(whole)
+    assert blockcopy.consolidate(spark, str(tmp_path / "src"), str(tmp_path / "out"), 1).count() == 10
+    assert len(list((tmp_path / "out").iterdir())) == 10 and len(list(tmp_path.iterdir())) == 2
+    with pytest.raises(FileExistsError):
+        blockcopy.consolidate(spark, str(tmp_path / "src"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_merged_file_is_whole_or_absent(spark, tmp_path, monkeypatch):
+    files = [str(f) for f in _pieces(spark, tmp_path / "src")]
+    (tmp_path / "out").mkdir()
+    with monkeypatch.context() as m:
+        m.setattr(pq, "ParquetFile", lambda f: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            blockcopy.merge_files(files, str(tmp_path / "out" / "a.parquet"))
+    assert not list((tmp_path / "out").iterdir())
+    assert blockcopy.merge_files(files, str(tmp_path / "out" / "a.parquet")) == (10, 100)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.parquet"]
+
+
+def test_pieces_are_no_merged_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("s", 0, '"a/b.jpg",1,2')], "shard_path string, n_bytes long, payload string").write.parquet(str(tmp_path / "raw_shards.parquet"))
+    monkeypatch.setattr(small_files, "consolidate", lambda spark, *a: spark.createDataFrame([], "bin bigint, files int, blocks int, rows bigint, out string"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        small_files.p5_found(spark, str(tmp_path)).collect()
+
+
 def test_thrift_round_trip():
     s = {1: (thrift.I32, -5), 2: (thrift.LIST, (thrift.STRUCT, [{1: (thrift.TRUE, True), 40: (thrift.BINARY, b"x" * 300)}] * 20)), 3: (thrift.I64, 1 << 60), 4: (thrift.FALSE, False), 5: (thrift.DOUBLE, 2.5), 6: (thrift.LIST, (thrift.TRUE, [True, False])), 7: (thrift.MAP, (thrift.BINARY << 4 | thrift.I32, [(b"k", 3)])), 8: (thrift.BYTE, 7)}
     raw = thrift.dump_struct(s)
