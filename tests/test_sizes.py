@@ -1,7 +1,9 @@
 """What the planner may broadcast: no rows that were multiplied after their size was known."""
 
+import numpy as np
 import pytest
 
+from sieveworks.operators import hamming
 from sieveworks.plans import catalogue
 from tests.compare import DATA
 
@@ -31,9 +33,44 @@ def plans(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-QUERIES = ["near_dup_pairs"]
+QUERIES = ["near_dup_pairs", "dual_hash_pairs"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_keys_are_not_broadcast(spark, plans, name):
     assert plans + broadcasts_of_keys(catalogue.queries()[name](spark, DATA)) == []
+
+
+def planted(threshold, n=300):
+    """Distinct pairs of codes around a few of them, and the positions of those near in both codes."""
+    r = np.random.default_rng(threshold)
+    pick = r.integers(0, 15, n)
+    codes = [r.integers(0, 1 << 64, 15, dtype=np.uint64)[pick] for _ in range(2)]
+    for c in codes:
+        for i in range(n):
+            for b in r.choice(64, r.integers(0, threshold + 2), replace=False):
+                c[i] ^= np.uint64(1) << np.uint64(b)
+    rows = np.unique(np.stack(codes, 1), axis=0)
+    near = [np.bitwise_count(c[:, None] ^ c[None, :]) <= threshold for c in rows.T]
+    return rows.T.copy(), set(zip(*(x.tolist() for x in np.nonzero(np.triu(near[0] & near[1], 1))), strict=True))
+
+
+@pytest.mark.parametrize("t", [0, 4, 12])
+@pytest.mark.parametrize("crowd", [0, 1 << 20])
+def test_dual_pairs_equal_brute_force(spark, t, crowd):
+    (one, two), want = planted(t)
+    at = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(one.view(np.int64), two.view(np.int64), strict=True))}
+    classes = spark.createDataFrame([(a, b) for a, b in at], "ph bigint, dh bigint")
+    got = [tuple(sorted((at[x["a1"], x["a2"]], at[x["b1"], x["b2"]]))) for x in hamming.dual_pairs(classes, t, "ph", "dh", crowd).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("agree", [0, 1, 2, 3])
+def test_task_equals_brute_force_at_any_keys(monkeypatch, agree):
+    monkeypatch.setattr(hamming, "cheapest_agree", lambda n, t: agree)
+    monkeypatch.setattr(hamming, "SHORT", 4)
+    (one, two), want = planted(4)
+    row, mask = (x.ravel() for x in np.meshgrid(np.arange(len(one)), np.arange(5), indexing="ij"))
+    i, j = hamming.near_in_task(one[row], two[row], mask, np.full(len(row), -1), 4)
+    got = [tuple(sorted(x)) for x in zip(row[i].tolist(), row[j].tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
