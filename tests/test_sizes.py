@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sieveworks.operators import hamming
+from sieveworks.operators import grouping, hamming
 from sieveworks.plans import catalogue
 from tests.compare import DATA
 
@@ -33,7 +33,7 @@ def plans(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-QUERIES = ["near_dup_pairs", "dual_hash_pairs"]
+QUERIES = ["near_dup_pairs", "dual_hash_pairs", "components"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -74,3 +74,15 @@ def test_task_equals_brute_force_at_any_keys(monkeypatch, agree):
     i, j = hamming.near_in_task(one[row], two[row], mask, np.full(len(row), -1), 4)
     got = [tuple(sorted(x)) for x in zip(row[i].tolist(), row[j].tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_of_keys(spark):
+    """Keys of copies and near copies are one group; files of one key are linked through it."""
+    hx = lambda n: f"{n:016x}"
+    inv = spark.createDataFrame(
+        [("a", "d", None, None, hx(255), hx(7)), ("b", "d", None, None, hx(255), hx(7)), ("c", "d", None, None, hx(254), hx(7)), ("d", "d", None, None, hx(1 << 40), hx(9)), ("e", "d", None, None, None, None), ("x", "d", None, None, hx(253), hx(7))],
+        "rel_path string, dataset string, class_label string, sha256 string, phash string, dhash string",
+    )
+    keys = spark.createDataFrame([("a", "k3"), ("b", "k2"), ("c", "k4"), ("d", "k1"), ("e", "k4")], "rel_path string, key string")
+    got = {r["rel_path"]: r["group"] for r in grouping.linked_keys(inv, keys).collect()}
+    assert got == {"a": "k2", "b": "k2", "c": "k2", "d": "k1", "e": "k2"}
