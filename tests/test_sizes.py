@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sieveworks.operators import grouping, hamming
+from sieveworks.operators import grouping, hamming, pools
 from sieveworks.plans import catalogue
 from tests.compare import DATA
 
@@ -33,7 +33,9 @@ def plans(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-QUERIES = ["near_dup_pairs", "dual_hash_pairs", "components"]
+QUERIES = [
+    "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split",
+]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -86,3 +88,10 @@ def test_links_of_keys(spark):
     keys = spark.createDataFrame([("a", "k3"), ("b", "k2"), ("c", "k4"), ("d", "k1"), ("e", "k4")], "rel_path string, key string")
     got = {r["rel_path"]: r["group"] for r in grouping.linked_keys(inv, keys).collect()}
     assert got == {"a": "k2", "b": "k2", "c": "k2", "d": "k1", "e": "k2"}
+
+
+def test_modes_count_only_mixed_groups(spark, monkeypatch):
+    df = spark.createDataFrame([("g", "p", "b", "x"), ("g", "p", "a", "y"), ("h", "p", "c", "x"), ("h", "p", "d", "x"), ("h", "p", "a", "y"), ("i", "q", "e", "z")], "group string, pool string, rel_path string, class string")
+    held, kept = [], pools.saved
+    monkeypatch.setattr(pools, "saved", lambda df, name: held.append(df.count()) or kept(df, name))
+    assert {r["group"]: r["class"] for r in pools._mode(df, "class").collect()} == {"g": "y", "h": "x", "i": "z"} and held == [2]
