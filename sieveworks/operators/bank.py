@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.scalars import count_bucket, hash_order, keyed_id, other_options, resolved_class, with_abstain
 from sieveworks.operators.ranks import hash_rank
+from sieveworks.session import saved
 
 SEED = 4127
 ABSTAIN = "cannot be determined from this image"
@@ -86,9 +87,15 @@ def even_sample(rows: DataFrame, by: list[str], key: str, budget: str, seed: int
     """H6: per ``by``, the first max(1, budget // splits) rows of each split in hash order, budget rows at most, no top-up.
 
     A null budget keeps all rows. ``split`` must be there; splits count per ``by``.
+    Hash buckets that begin beyond every budget are left out before rows move.
     """
-    keyed = rows.withColumn("_h", hash_order(seed, *[F.col(c) for c in by], F.col(key)))
-    splits = keyed.groupBy(*by).agg(F.countDistinct("split").alias("_splits"))
+    keyed = rows.withColumn("_h", hash_order(seed, *[F.col(c) for c in by], F.col(key))).withColumn("_bucket", F.substring("_h", 1, 3))
+    counts = keyed.groupBy(*by, "split", "_bucket").agg(F.count("*").alias("_n"), F.max(F.coalesce(budget, F.lit((1 << 31) - 1))).alias("_most"))
+    splits = counts.groupBy(*by).agg(F.countDistinct("split").alias("_splits"), F.max("_most").alias("_most"))
+    run = F.sum("_n").over(W.partitionBy(*by, "split").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    needed = counts.select(*by, "split", "_bucket", run.alias("_before")).join(splits, by).where(F.col("_before") < F.greatest(F.lit(1), F.floor(F.col("_most") / F.col("_splits"))))
+    keyed = keyed.join(saved(needed.select(*by, "split", "_bucket"), "buckets"), [*by, "split", "_bucket"], "left_semi").drop("_bucket")
+    splits = splits.drop("_most")
     ranked = hash_rank(keyed, [*by, "split"], "_h", key, "_r").join(splits, by)
     per = F.greatest(F.lit(1), F.floor(F.col(budget) / F.col("_splits")))
     first = ranked.where(F.col(budget).isNull() | (F.col("_r") <= per)).drop("_r", "_r_n")
@@ -118,18 +125,31 @@ def build_items(rows: DataFrame, templates: DataFrame, paraphrases: DataFrame, w
     each of the other wordings of their template, C items reject the premise, D
     items abstain.
     """
-    made = answered(eligible(rows, templates)).withColumn("type", F.col("question_type"))
-    sampled = even_sample(made, ["template_id"], "rel_path", "budget")
-    base = sampled.select(
-        keyed_id(F.col("rel_path"), F.col("template_id"), F.col("type")).alias("question_id"),
-        "rel_path", "group", "split", "pool", "template_id", "question_type", F.col("text").alias("question_text"), F.col("choices").alias("options"), F.col("expected").alias("expected_behaviour"),
+    marked = rows.join(paraphrases.select("group").distinct().withColumn("again", F.lit(True)), "group", "left")
+    made = answered(eligible(marked, templates)).withColumn("type", F.col("question_type"))
+    sampled = made.where("budget is null").unionByName(even_sample(made.where("budget is not null"), ["template_id"], "rel_path", "budget"))
+    other = (wording_table(rows.sparkSession) if wordings is None else wordings).groupBy("template_id").agg(F.collect_list(F.struct("variant", "wording")).alias("others"))
+    none = F.array(F.struct(F.lit(0).alias("variant"), F.lit(None).cast("string").alias("wording")))
+    forms = F.when((F.col("type") == "A") & F.col("again") & F.col("others").isNotNull(), F.concat(none, "others")).otherwise(none)
+    shown = sampled.join(F.broadcast(other), "template_id", "left").withColumn("form", F.explode(forms))
+    first = F.col("form.variant") == 0
+    parent = keyed_id(F.col("rel_path"), F.col("template_id"), F.col("type"))
+    return shown.select(
+        F.when(first, parent).otherwise(keyed_id(F.col("rel_path"), F.col("template_id"), F.lit("B"), F.col("form.variant"))).alias("question_id"),
+        "rel_path", "group", "split", "pool", "template_id", F.when(first, F.col("type")).otherwise("B").alias("question_type"), F.when(first, F.col("text")).otherwise(F.col("form.wording")).alias("question_text"), F.col("choices").alias("options"), F.col("expected").alias("expected_behaviour"),
         F.when(F.col("type") == "D", F.col("options")).otherwise(F.filter(other_options(F.col("choices"), F.col("expected")), lambda o: o != ABSTAIN)).alias("unsafe_options"),
-        F.col("mechanism").alias("mechanism_label"), (F.col("type") != "D").alias("answerable"), F.lit("").alias("paraphrase_of"),
+        F.col("mechanism").alias("mechanism_label"), (F.col("type") != "D").alias("answerable"), F.when(first, "").otherwise(parent).alias("paraphrase_of"),
+    )
+
+
+def check_facts(items: DataFrame) -> DataFrame:
+    """What ``checks`` needs of each item, without its texts and options."""
+    return items.select(
+        "question_id", "expected_behaviour", "paraphrase_of",
+        F.coalesce(F.array_contains("options", F.col("expected_behaviour")), F.lit(False)).alias("offered"),
+        F.coalesce(F.array_contains("unsafe_options", F.col("expected_behaviour")), F.lit(False)).alias("unsafe"),
+        ((F.col("question_type") == "D") & F.col("answerable")).alias("d_answerable"), ((F.col("question_type") != "D") & ~F.col("answerable")).alias("not_answerable"),
     )
-    other = F.broadcast(wording_table(rows.sparkSession) if wordings is None else wordings)
-    again = base.where("question_type = 'A'").join(paraphrases, "group", "left_semi").join(other, "template_id")
-    again = again.withColumn("paraphrase_of", F.col("question_id")).withColumn("question_id", keyed_id(F.col("rel_path"), F.col("template_id"), F.lit("B"), F.col("variant"))).withColumn("question_type", F.lit("B")).withColumn("question_text", F.col("wording")).drop("variant", "wording")
-    return base.unionByName(again)
 
 
 def checks(items: DataFrame) -> DataFrame:
@@ -139,13 +159,15 @@ def checks(items: DataFrame) -> DataFrame:
     among the unsafe options, D items marked answerable, other items marked not
     answerable, and paraphrases whose parent is missing or answers differently.
     """
+    return fact_checks(check_facts(items))
+
+
+def fact_checks(items: DataFrame) -> DataFrame:
+    """``checks`` over the facts of items."""
     one = items.agg(
-        (F.count("*") - F.countDistinct("question_id")).alias("repeated_ids"),
-        F.count_if(~F.coalesce(F.array_contains("options", F.col("expected_behaviour")), F.lit(False))).alias("answer_not_offered"),
-        F.count_if(F.coalesce(F.array_contains("unsafe_options", F.col("expected_behaviour")), F.lit(False))).alias("answer_unsafe"),
-        F.count_if((F.col("question_type") == "D") & F.col("answerable")).alias("d_answerable"),
-        F.count_if((F.col("question_type") != "D") & ~F.col("answerable")).alias("not_answerable"),
-    )
+        (F.count("*") - F.countDistinct("question_id")).alias("repeated_ids"), F.count_if(~F.col("offered")).alias("answer_not_offered"), F.count_if("unsafe").alias("answer_unsafe"),
+        F.count_if("d_answerable").alias("d_answerable"), F.count_if("not_answerable").alias("not_answerable"),
+    )
     parents = items.groupBy("question_id").agg(F.min("expected_behaviour").alias("parent_answer"))
     pairs = items.where(F.coalesce("paraphrase_of", F.lit("")) != "").select(F.col("paraphrase_of").alias("question_id"), "expected_behaviour").join(parents, "question_id", "left")
     lost = pairs.agg(F.count_if(~F.col("expected_behaviour").eqNullSafe(F.col("parent_answer"))).alias("paraphrase_mismatch"))

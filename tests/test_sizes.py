@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sieveworks.operators import grouping, hamming, pools
+from sieveworks.operators import bank, grouping, hamming, pools
 from sieveworks.plans import catalogue
 from tests.compare import DATA
 
@@ -34,7 +34,7 @@ def plans(spark, monkeypatch):
 
 
 QUERIES = [
-    "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split",
+    "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split", "question_items",
 ]
 
 
@@ -95,3 +95,12 @@ def test_modes_count_only_mixed_groups(spark, monkeypatch):
     held, kept = [], pools.saved
     monkeypatch.setattr(pools, "saved", lambda df, name: held.append(df.count()) or kept(df, name))
     assert {r["group"]: r["class"] for r in pools._mode(df, "class").collect()} == {"g": "y", "h": "x", "i": "z"} and held == [2]
+
+
+def test_sample_ranks_only_what_budgets_reach(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("'t' as t", "cast(id as string) as k", "if(id % 2 = 0, 'train', 'test') as split", "20 as budget")
+    seen, rank = [], bank.hash_rank
+    monkeypatch.setattr(bank, "hash_rank", lambda df, *a, **x: seen.append(df.count()) or rank(df, *a, **x))
+    got = bank.even_sample(df, ["t"], "k", "budget")
+    assert got.groupBy("split").count().collect() and {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 10, "test": 10}
+    assert max(seen) < 200
