@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveworks.functions.normal import hex_digest, word
 from sieveworks.functions.scalars import stem
 from sieveworks.operators import bank, grouping, pools
-from sieveworks.session import cut, table
+from sieveworks.session import cut, saved, table
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def question_items(spark, d):
 
 
 def built_checks(spark, d):
-    return bank.checks(cut(_items(spark, d)))
+    return bank.fact_checks(saved(bank.check_facts(_items(spark, d)), "facts"))
 
 
 def _bank(spark, d):

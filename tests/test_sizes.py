@@ -34,7 +34,7 @@ def plans(spark, monkeypatch):
 
 
 QUERIES = [
-    "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split", "question_items",
+    "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split", "question_items", "built_checks",
 ]
 
 
@@ -104,3 +104,11 @@ def test_sample_ranks_only_what_budgets_reach(spark, monkeypatch):
     got = bank.even_sample(df, ["t"], "k", "budget")
     assert got.groupBy("split").count().collect() and {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 10, "test": 10}
     assert max(seen) < 200
+
+
+def test_checks_keep_no_texts(spark, monkeypatch):
+    seen, kind = [], type(spark.range(1))
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, eager=True: (seen.append(set(df.columns)), checkpoint(df, eager))[1])
+    catalogue.queries()["built_checks"](spark, DATA)
+    assert seen and not any(c & {"question_text", "unsafe_options"} for c in seen)
