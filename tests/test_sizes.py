@@ -36,7 +36,7 @@ def plans(spark, monkeypatch):
 QUERIES = [
     "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split", "question_items", "built_checks", "exclude_laundered", "group_profile", "mask_coverage", "pool_conflicts",
     "split_invariants", "usable_rows", "canonical_row", "majority_pool", "split_images", "class_collapse", "group_examples", "pool_histogram", "split_pivot", "cross_within_pairs",
-    "group_sizes",
+    "group_sizes", "tertile_bins",
 ]
 
 
