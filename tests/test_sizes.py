@@ -36,7 +36,7 @@ def plans(spark, monkeypatch):
 QUERIES = [
     "near_dup_pairs", "dual_hash_pairs", "components", "stratified_split", "question_items", "built_checks", "exclude_laundered", "group_profile", "mask_coverage", "pool_conflicts",
     "split_invariants", "usable_rows", "canonical_row", "majority_pool", "split_images", "class_collapse", "group_examples", "pool_histogram", "split_pivot", "cross_within_pairs",
-    "group_sizes", "tertile_bins",
+    "group_sizes", "tertile_bins", "threshold_sweep",
 ]
 
 
@@ -114,3 +114,15 @@ def test_checks_keep_no_texts(spark, monkeypatch):
     monkeypatch.setattr(kind, "checkpoint", lambda df, eager=True: (seen.append(set(df.columns)), checkpoint(df, eager))[1])
     catalogue.queries()["built_checks"](spark, DATA)
     assert seen and not any(c & {"question_text", "unsafe_options"} for c in seen)
+
+
+def test_sweep_links_all_thresholds_in_the_same_rounds(spark, monkeypatch):
+    hx = lambda n: f"{n:016x}"
+    chain = [(f"f{i:02d}", "d", None, f"{i // 2:02x}", hx(1 + (1 << 60) + sum(3 << 2 * k + 4 for k in range(i))), hx(7)) for i in range(12)]
+    inv = spark.createDataFrame(chain, "rel_path string, dataset string, class_label string, sha256 string, phash string, dhash string")
+    seen, kind = [], type(inv)
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, eager=True: (seen.append(1), checkpoint(df, eager))[1])
+    got = {r["threshold"]: tuple(r)[1:] for r in grouping.threshold_sweep(inv, [4, 0, 1, 2, 12, 3]).collect()}
+    assert got == {0: (0, 6, 6, 12, 2), 1: (0, 6, 6, 12, 2), 2: (11, 1, 1, 12, 12), 3: (11, 1, 1, 12, 12), 4: (21, 1, 1, 12, 12), 12: (51, 1, 1, 12, 12)}
+    assert len(seen) < 25
